@@ -1,15 +1,338 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine over the driver's tables, each beside SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.functions.profiles import LATIN
+from quillspark.operators import corpus, features, metrics, pairs
+
+MARKERS = ["tion", "ement", "heit", "ción", "the"]
+PAGE = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+LINES = r"""p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '[A-Za-zÀ-ÿ]')) AS ls FROM documents),
+lines AS (SELECT doc_id, i - 1 AS idx, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM p))"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest FROM lines")
+def paragraph_explode(t):
+    u = corpus.units(t("documents"), "doc_id", LATIN)
+    return u.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(idx AS BIGINT) AS idx, md5(text) AS digest, md5(coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY idx), '')) AS prev FROM lines")
+def unit_prev_lag(t):
+    u = corpus.units(t("documents"), "doc_id", LATIN)
+    return u.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), F.md5("prev").alias("prev"))
+
+
+@query("""SELECT reason, count(*) AS posts FROM (SELECT CASE WHEN source IN ('src3', 'src7') THEN 'slug' WHEN lang IN ('de') THEN 'tag' WHEN n_chars < 200 THEN 'too_short' END AS reason FROM documents)
+WHERE reason IS NOT NULL GROUP BY reason""")
+def exclusion_reasons(t):
+    rules = {"slug": F.col("source").isin("src3", "src7"), "tag": F.col("lang") == "de", "too_short": F.col("n_chars") < 200}
+    return t("documents").select(corpus.exclusion_reason(rules).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("posts"))
+
+
+SPLIT = """s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM documents),
+split AS (SELECT doc_id, source, CASE WHEN k <= a THEN 'test' WHEN k <= a + b THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT *, least(greatest(1, CAST(round_even(20 * n / total, 0) AS BIGINT)), n - 1) AS a, CAST(round_even(10 * n / total, 0) AS BIGINT) AS b FROM s))"""
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, source, split FROM split")
+def split_assign(t):
+    return corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source")
+
+
+@query(f"WITH {SPLIT} SELECT split, count(DISTINCT source) AS buckets, count(*) AS posts FROM split GROUP BY split")
+def split_report(t):
+    return corpus.split_report(corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source"), "source")
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(lines.text) AS units, CAST(coalesce(sum(length(lines.text)), 0) AS BIGINT) AS chars FROM documents LEFT JOIN lines USING (doc_id) GROUP BY doc_id")
+def post_units(t):
+    parts = T.paragraphs(F.col("text"), LATIN)
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return t("documents").select("doc_id", F.size(parts).cast("long").alias("units"), total.alias("chars"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))), ' ') AS raw,
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))), ' ') AS canonical
+FROM documents WHERE regexp_matches(text, '[0-9]')""")
+def number_sets(t):
+    show = lambda c: F.array_join(F.sort_array(c), " ")
+    return t("documents").where(F.col("text").rlike("[0-9]")).select("doc_id", show(T.numbers(F.col("text"))).alias("raw"), show(T.number_values(F.col("text"))).alias("canonical"))
+
+
+@query(r"""SELECT conv_id, turn, CAST(len(x) AS BIGINT) AS n, md5(array_to_string(x, ' ')) AS digest FROM (SELECT conv_id, turn,
+list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+\-.]*'), lambda w: regexp_replace(lower(w), '^[.-]+|[.-]+$', '', 'g')))) AS x FROM conversations)""")
+def latin_tokens(t):
+    x = F.sort_array(T.tokens(F.col("text")))
+    return t("conversations").select("conv_id", "turn", F.size(x).cast("long").alias("n"), F.md5(F.array_join(x, " ")).alias("digest"))
+
+
+def derived(t) -> DataFrame:
+    """Each document with a rewrite of one of five kinds: copied, cut, digits moved, two words added, empty."""
+    c = F.col("text")
+    kind = F.pmod("doc_id", F.lit(5))
+    new = F.when(kind == 0, c).when(kind == 1, F.left(c, F.floor(F.length(c) / 3).cast("int"))).when(kind == 2, F.translate(c, "0123456789", "1234567890"))
+    return t("documents").select("doc_id", "lang", "source", c.alias("original"), new.when(kind == 3, F.concat(c, F.lit(" Zyxware Qvortex"))).otherwise("").alias("rewrite"))
+
+
+DERIVED = """pair AS (SELECT doc_id, lang, source, text AS original, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN left(text, CAST(length(text) // 3 AS BIGINT)) WHEN 2 THEN translate(text, '0123456789', '1234567890')
+WHEN 3 THEN text || ' Zyxware Qvortex' ELSE '' END AS rewrite FROM documents)"""
+_TOK = r"list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z0-9+\-.]*'), lambda w: regexp_replace(lower(w), '^[.-]+|[.-]+$', '', 'g')))"
+_NUM = r"list_distinct(regexp_extract_all({}, '[0-9]+(?:\.[0-9]+)?'))"
+GATE = rf"""{DERIVED}, f AS (SELECT *, length(rewrite) / greatest(1, length(original)) AS ratio, {_NUM.format('original')} AS na, {_NUM.format('rewrite')} AS nb, {_TOK.format('original')} AS ta, {_TOK.format('rewrite')} AS tb FROM pair),
+gate AS (SELECT doc_id, lang, CASE WHEN trim(rewrite) = '' THEN 'empty' WHEN ratio NOT BETWEEN 0.5 AND 1.9 THEN 'length_ratio'
+  WHEN len(list_filter(na, lambda x: NOT list_contains(nb, x))) + len(list_filter(nb, lambda x: NOT list_contains(na, x))) > 0 THEN 'number_changed'
+  WHEN len(list_filter(list_filter(tb, lambda w: NOT list_contains(ta, w)), lambda w: len(list_filter(ta, lambda x: contains(x, w) OR contains(w, x))) = 0)) > 1 THEN 'latin_invented' ELSE 'ok' END AS why FROM f)"""
+
+
+@query(f"WITH {GATE} SELECT doc_id, why = 'ok' AS ok, why FROM gate")
+def pair_gate(t):
+    return pairs.gate(derived(t), profile=LATIN).select("doc_id", (F.col("why") == "ok").alias("ok"), "why")
+
+
+@query(f"WITH {GATE} SELECT lang, why, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM gate GROUP BY lang, why")
+def gate_reasons(t):
+    n = pairs.gate(derived(t), profile=LATIN).groupBy("lang", "why").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("lang")), 6))
+
+
+_VAL = r"list_distinct(list_transform(regexp_extract_all({}, '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))"
+GUARD = rf"""{DERIVED}, f AS (SELECT doc_id, source, original, rewrite, length(rewrite) / greatest(1, length(original)) AS ratio, {_VAL.format('original')} AS a, {_VAL.format('rewrite')} AS b FROM pair),
+y AS (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x) AND NOT (CAST(x AS DOUBLE) BETWEEN 0 AND 99.99999 AND list_contains(b, printf('%.5e', CAST(x AS DOUBLE) + 2000)))
+  AND NOT (CAST(x AS DOUBLE) >= 2000 AND CAST(x AS DOUBLE) < 2100 AND list_contains(b, printf('%.5e', CAST(x AS DOUBLE) - 2000)))) AS lost,
+  list_filter(b, lambda x: NOT list_contains(a, x) AND NOT (CAST(x AS DOUBLE) BETWEEN 0 AND 99.99999 AND list_contains(a, printf('%.5e', CAST(x AS DOUBLE) + 2000)))
+  AND NOT (CAST(x AS DOUBLE) >= 2000 AND CAST(x AS DOUBLE) < 2100 AND list_contains(a, printf('%.5e', CAST(x AS DOUBLE) - 2000)))) AS new FROM f),
+guard AS (SELECT doc_id, source, original, rewrite, ratio, CASE WHEN ratio NOT BETWEEN 0.6 AND 1.6 THEN printf('length_ratio %.2f', CAST(ratio AS DOUBLE)) WHEN len(lost) + len(new) > 0 THEN 'number_changed' END AS reason, len(lost) + len(new) > 0 AS drift FROM y)"""
+
+
+@query(f"WITH {GUARD} SELECT doc_id, reason FROM guard")
+def paragraph_guard(t):
+    return pairs.guard(derived(t), profile=LATIN).select("doc_id", "reason")
+
+
+@query(f"WITH {GUARD} SELECT source, round(avg(drift::INT), 6) AS number_err, round(avg((ratio NOT BETWEEN 0.6 AND 1.6)::INT), 6) AS rejected, median(CAST(ratio AS DOUBLE)) AS len_ratio FROM guard GROUP BY source")
+def scorecard(t):
+    ratio = F.length("rewrite") / F.greatest(F.lit(1), F.length("original"))
+    rows = derived(t).select("source", ratio.alias("ratio"), (F.size(T.number_drift(F.col("original"), F.col("rewrite"), LATIN)) > 0).cast("int").alias("drift"))
+    return rows.groupBy("source").agg(F.round(F.avg("drift"), 6).alias("number_err"), F.round(F.avg((~F.col("ratio").between(0.6, 1.6)).cast("int")), 6).alias("rejected"), F.median("ratio").alias("len_ratio"))
+
+
+@query("""SELECT u.user_id, p.prompt_id FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('view'), ('purchase'), ('refund')) p(prompt_id)
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = p.prompt_id AND e.value > 20)""")
+def pending_jobs(t):
+    done = t("events").where("value > 20").select("user_id", F.col("event_type").alias("prompt_id"))
+    return pairs.pending(t("events"), "user_id", ("view", "purchase", "refund"), done)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def dedupe_first(t):
+    return pairs.first_wins(t("events").where("event_type <> 'error'"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("""SELECT user_id, prompt_id, event_id FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '@b' ELSE event_type END AS prompt_id, event_type FROM events WHERE event_type <> 'error')
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY contains(prompt_id, '@'), CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 99 END, event_id) = 1""")
+def eval_pick(t):
+    prompt = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("@b"))).otherwise(F.col("event_type"))
+    rows = t("events").where("event_type <> 'error'").select("user_id", "event_id", prompt.alias("prompt_id"))
+    return pairs.preferred(rows, "user_id", "prompt_id", ["purchase", "signup"], "event_id")
+
+
+@query(f"""WITH {GATE}, ex AS (SELECT gate.doc_id || '#' || why AS unit_id, pair.rewrite AS q, pair.original AS a FROM gate JOIN pair USING (doc_id) WHERE why = 'ok'
+UNION ALL SELECT doc_id || '#identity', text, text FROM documents WHERE n_chars < 500)
+SELECT unit_id, md5('Rewrite.' || chr(10) || chr(10) || '【要改写的段落】' || chr(10) || q) AS question, md5(a) AS answer FROM ex""")
+def sft_examples(t):
+    good = pairs.gate(derived(t), profile=LATIN).where("why = 'ok'").select(F.concat_ws("#", "doc_id", "why").alias("unit_id"), F.lit("").alias("prev"), F.col("rewrite").alias("input"), F.col("original").alias("text"))
+    same = t("documents").where("n_chars < 500").select(F.concat_ws("#", "doc_id", F.lit("identity")).alias("unit_id"), F.lit("").alias("prev"), F.col("text").alias("input"), "text")
+    m = pairs.examples(good.unionByName(same), "Rewrite.")
+    return m.select("unit_id", F.md5(F.col("messages")[0]["content"]).alias("question"), F.md5(F.col("messages")[1]["content"]).alias("answer"))
+
+
+def _tf(name: str, key: str) -> str:
+    return rf"""{name}_c AS (SELECT {key}, string_split(lower(regexp_replace(text, '\s\s+', ' ', 'g')), '') AS c FROM {name}),
+{name}_i AS (SELECT {key}, c, unnest(range(1, len(c) + 1)) AS i, len(c) AS n FROM {name}_c WHERE len(c) > 0),
+{name}_g AS (SELECT {key}, c[i] || c[i + 1] AS gram FROM {name}_i WHERE i < n UNION ALL SELECT {key}, c[i] || c[i + 1] || c[i + 2] FROM {name}_i WHERE i < n - 1),
+{name}_tf AS (SELECT {key}, gram, count(*) AS tf FROM {name}_g GROUP BY ALL)"""
+
+
+_WEIGHT = "{t}_v AS (SELECT {k}, gram, (1 + ln(tf)) * idf AS v FROM {t}_tf JOIN idf USING (gram)), {t}_w AS (SELECT {k}, gram, v / sqrt(sum(v * v) OVER (PARTITION BY {k})) AS w FROM {t}_v)"
+
+
+@query(f"""WITH {_tf('benchmark', 'item_id')}, idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM benchmark_tf GROUP BY gram), {_WEIGHT.format(t='benchmark', k='item_id')}
+SELECT item_id, gram, round(w, 6) AS w FROM benchmark_w""")
+def char_tfidf(t):
+    tf = features.counts(t("benchmark"), "item_id", (2, 3))
+    return features.tfidf(tf, "item_id", features.idf(tf, t("benchmark").count())).select("item_id", "gram", F.round("w", 6).alias("w"))
+
+
+@query(f"""WITH {_tf('benchmark', 'item_id')}, {_tf('documents', 'doc_id')}, idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM documents_tf GROUP BY gram),
+{_WEIGHT.format(t='benchmark', k='item_id')}, {_WEIGHT.format(t='documents', k='doc_id')},
+sim AS (SELECT item_id, doc_id, round(sum(a.w * b.w), 6) AS sim FROM benchmark_w a JOIN documents_w b USING (gram) GROUP BY ALL)
+SELECT item_id, sim, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id DESC) AS BIGINT) AS rank FROM sim QUALIFY rank <= 8""")
+def retrieve_topk(t):
+    tf = features.counts(t("documents"), "doc_id", (2, 3))
+    weights = features.idf(tf, t("documents").count())
+    asked = features.tfidf(features.counts(t("benchmark"), "item_id", (2, 3)), "item_id", weights)
+    found = features.top_similar(asked, "item_id", features.tfidf(tf, "doc_id", weights), "doc_id", 8)
+    return found.select("item_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+_WORDS = r"w AS (SELECT doc_id, source, quality, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS term FROM documents JOIN labels USING (doc_id))"
+_ODDS = f"""{_WORDS}, k AS (SELECT term, count_if(quality = 1) AS own, count_if(quality = 0) AS other FROM w GROUP BY term),
+odds AS (SELECT term, own, other, ln((other + 1) / (SELECT sum(other) FROM k)) - ln((own + 1) / (SELECT sum(own) FROM k)) AS score FROM k WHERE other >= 20)"""
+
+
+def labelled_words(t) -> DataFrame:
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))).alias("term")
+    return t("documents").join(t("labels").select("doc_id", "quality"), "doc_id").select("doc_id", "source", "quality", words)
+
+
+@query(f"WITH {_ODDS} SELECT term, own, other, round(score, 6) AS score FROM odds")
+def marker_lexicon(t):
+    return features.log_odds(labelled_words(t), "term", "quality").withColumn("score", F.round("score", 6))
+
+
+_SCORED = f"""{_ODDS}, scored AS (SELECT doc_id, source, any_value(quality) AS y, count(*) AS words, round(1 / (1 + exp(sum(coalesce(score, 0)) / count(*))), 6) AS p FROM w LEFT JOIN odds USING (term) GROUP BY doc_id, source)"""
+
+
+def scored(t) -> DataFrame:
+    words = labelled_words(t)
+    weights = features.log_odds(words, "term", "quality").select("term", "score")
+    z = F.sum(F.coalesce("score", F.lit(0.0))) / F.count("*")
+    return words.join(weights, "term", "left").groupBy("doc_id", "source").agg(F.first("quality").alias("y"), F.count("*").alias("words"), F.round(1 / (1 + F.exp(z)), 6).alias("p"))
+
+
+@query(f"""WITH {_SCORED} SELECT source, round(p, 5) AS p, CASE WHEN p < 0.3 THEN 1 WHEN p < 0.5 THEN 2 WHEN p < 0.85 THEN 3 ELSE 4 END AS band, docs FROM
+(SELECT source, sum(p * words) / sum(words) AS p, count(*) AS docs FROM scored GROUP BY source)""")
+def classifier_score(t):
+    p = scored(t).groupBy("source").agg((F.sum(F.col("p") * F.col("words")) / F.sum("words")).alias("p"), F.count("*").alias("docs"))
+    return p.select("source", F.round("p", 5).alias("p"), T.band(F.col("p")).alias("band"), "docs")
+
+
+@query(f"WITH {_SCORED} SELECT source, doc_id, p, CAST(k AS BIGINT) AS k FROM (SELECT source, doc_id, p, row_number() OVER (PARTITION BY source ORDER BY p, doc_id) AS k FROM scored) WHERE k <= 3")
+def worst_k(t):
+    k = F.row_number().over(W.partitionBy("source").orderBy("p", "doc_id"))
+    return scored(t).select("source", "doc_id", "p", k.cast("long").alias("k")).where("k <= 3")
+
+
+def _auc(rows: str, by: str) -> str:
+    g = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""r AS (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {g}p) - 1) / 2 AS rk FROM {rows})
+SELECT {g}count_if(y = 1) AS n_pos, count_if(y = 0) AS n_neg, round((sum(rk) FILTER (WHERE y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2) / (count_if(y = 1) * count_if(y = 0)), 6) AS auc,
+round(avg(p) FILTER (WHERE y = 1), 6) AS mean_pos, round(avg(p) FILTER (WHERE y = 0), 6) AS mean_neg, round(avg((p > 0.5)::INT) FILTER (WHERE y = 1), 6) AS pos_above, round(avg((p < 0.5)::INT) FILTER (WHERE y = 0), 6) AS neg_below
+FROM r {f'GROUP BY {by}' if by else ''} HAVING count_if(y = 1) > 0 AND count_if(y = 0) > 0"""
+
+
+@query(f"WITH l AS (SELECT quality AS y, round(n_chars / 10000, 6) AS p FROM documents JOIN labels USING (doc_id)), {_auc('l', '')}")
+def separation_auc(t):
+    rows = t("documents").join(t("labels"), "doc_id").select(F.col("quality").alias("y"), F.round(F.col("n_chars") / 10000, 6).alias("p"))
+    return metrics.separation(rows)
+
+
+_SLICES = """l AS (SELECT quality AS y, round((doc_id * 7919 % 1000) / 1000, 6) AS p, lang, CASE WHEN n_chars < 800 THEN '0-800' WHEN n_chars < 2000 THEN '800-2000' ELSE '2000+' END AS b FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT 'all' AS slice, y, p FROM l UNION ALL SELECT 'lang:' || lang, y, p FROM l UNION ALL SELECT 'length:' || b, y, p FROM l)"""
+
+
+@query(f"WITH {_SLICES}, {_auc('s', 'slice')}")
+def separation_slices(t):
+    bucket = F.when(F.col("n_chars") < 800, "0-800").when(F.col("n_chars") < 2000, "800-2000").otherwise("2000+")
+    keys = F.array(F.lit("all"), F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("length:"), bucket))
+    rows = t("documents").join(t("labels"), "doc_id").select(F.explode(keys).alias("slice"), F.col("quality").alias("y"), F.round((F.col("doc_id") * 7919 % 1000) / 1000, 6).alias("p"))
+    return metrics.separation(rows, "slice")
+
+
+_RATE = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)}" for m in MARKERS)
+
+
+@query(f"SELECT source, chars, hits, round(1000.0::DOUBLE * hits / greatest(1, chars), 6) AS rate FROM (SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum({_RATE}) AS BIGINT) AS hits FROM documents GROUP BY source)")
+def marker_rate_by_source(t):
+    return features.marker_rate(t("documents"), MARKERS, "source").orderBy(F.desc("rate"), "source")
+
+
+_CHRF = " UNION ALL ".join(f"SELECT lang, doc_id, side, {n} AS n, substr(t, i, {n}) AS g FROM ix WHERE i <= length(t) - {n - 1}" for n in range(1, 7))
+
+
+@query(rf"""WITH {DERIVED}, ix AS (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM (SELECT lang, doc_id, 1 AS side, regexp_replace(rewrite, '\s+', '', 'g') AS t FROM pair UNION ALL SELECT lang, doc_id, 2, regexp_replace(original, '\s+', '', 'g') FROM pair)),
+g AS ({_CHRF}), e AS (SELECT lang, doc_id, n, g, count_if(side = 1) AS h, count_if(side = 2) AS r FROM g GROUP BY ALL),
+d AS (SELECT lang, doc_id, n, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM e GROUP BY ALL),
+o AS (SELECT lang, n, sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS h, sum(r) AS r, sum(m) AS m FROM d GROUP BY ALL),
+a AS (SELECT lang, avg(m / h) AS p, avg(m / r) AS q FROM o WHERE h > 0 AND r > 0 GROUP BY lang)
+SELECT lang AS system, round(coalesce(100 * 5 * p * q / nullif(4 * p + q, 0), 0), 6) AS chrf FROM a""")
+def chrf_corpus(t):
+    return metrics.chrf(derived(t).select(F.col("lang").alias("system"), F.col("doc_id").alias("id"), F.col("rewrite").alias("hyp"), F.col("original").alias("ref")))
+
+
+@query("""WITH s AS (SELECT label AS step, round(avg(embedding[1]), 6) AS val_loss, round(avg(embedding[2]), 6) AS chrf, round(avg(embedding[3]) + 0.5, 6) AS p FROM embeddings GROUP BY label)
+SELECT step, val_loss, chrf FROM s ORDER BY p > 0.53, val_loss NULLS LAST, chrf DESC, step LIMIT 1""")
+def checkpoint_pick(t):
+    e = F.col("embedding")
+    s = t("embeddings").groupBy(F.col("label").alias("step")).agg(F.round(F.avg(e[0].cast("double")), 6).alias("val_loss"), F.round(F.avg(e[1].cast("double")), 6).alias("chrf"), F.round(F.avg(e[2].cast("double")) + 0.5, 6).alias("p"))
+    s = s.withColumns({"rate": F.lit(1.0), "err": F.lit(0.0)}).withColumn("flags", metrics.flags())
+    return metrics.recommend(s).select("step", "val_loss", "chrf")
+
+
+@query("""WITH a AS (SELECT lang, count(*) AS n, count_if(quality = 1) AS k FROM documents JOIN labels USING (doc_id) WHERE doc_id % 10 < 4 GROUP BY lang),
+c AS (SELECT lang, n, k, unnest(range(CAST(least(k, 20) AS BIGINT), CAST(least(n, 20) + 1 AS BIGINT))) AS i, least(n, 20) AS m FROM a)
+SELECT lang, n, k, round(sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))), 4) AS tail FROM c GROUP BY lang, n, k""")
+def blind_score(t):
+    a = t("documents").join(t("labels"), "doc_id").where("doc_id % 10 < 4").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
+    tail = metrics.binomial_tail(F.least("k", F.lit(20)).cast("int"), F.least("n", F.lit(20)).cast("int"))
+    return a.select("lang", "n", "k", F.round(tail, 4).alias("tail"))
+
+
+@query(r"""SELECT page_id, md5(x) AS digest, CAST(length(x) AS BIGINT) AS chars FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+html, '(?is)<script\b.*?</script>', chr(10), 'g'), '(?is)<style\b.*?</style>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM pages)""")
+def page_clean(t):
+    c = F.col("html")
+    for i, pattern in enumerate(PAGE):
+        c = F.regexp_replace(c, pattern, "\n" if i < 3 else "")
+    return t("pages").select("page_id", F.md5(c).alias("digest"), F.length(c).cast("long").alias("chars"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id AS d, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS sim FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT q, sim, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS BIGINT) AS rank FROM s QUALIFY rank <= 5""")
+def embedding_topk(t):
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    v = t("embeddings").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+    asked = v.where("vec_id % 50 = 0").toDF("q", "qv", "qn")
+    sims = v.join(asked, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("d"), F.round(dot(F.col("qv"), F.col("embedding")) / (F.col("qn") * F.col("norm")), 6).alias("sim"))
+    return sims.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "d")).cast("long")).where("rank <= 5").select("q", "sim", "rank")
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, NOT regexp_matches(text, '\b(I|my|we)\b') AND regexp_matches(nt, '\b(I|my|we)\b') AS first_person, len(regexp_extract_all(nt, '(?m)^\s*[*-] ')) > len(regexp_extract_all(text, '(?m)^\s*[*-] ')) AS more_lists
+FROM p WHERE role = 'user' AND nr = 'assistant'""")
+def drift_prechecks(t):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    p = t("conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("nr"), F.lead("text").over(w).alias("nt")).where("role = 'user' and nr = 'assistant'")
+    me, item = r"\b(I|my|we)\b", F.lit(r"(?m)^\s*[*-] ")
+    return p.select("conv_id", "turn", (~F.col("text").rlike(me) & F.col("nt").rlike(me)).alias("first_person"), (F.regexp_count("nt", item) > F.regexp_count("text", item)).alias("more_lists"))
