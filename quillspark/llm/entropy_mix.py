@@ -104,12 +104,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it (not at all, once or more)."""
-    counts = mixed(docs).groupBy("did", "th").agg(F.array_sort(F.collect_list("copies")).alias("c"))
+    counts = mixed(docs).groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_list("copies")).alias("__c"))
     own = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__th", F.hash(F.coalesce("text", F.lit(""))))
     names = docs.columns
     # rows equal in id and text share their copies evenly, rounded down
-    joined = own.join(counts, (F.col("__did") == F.col("did")) & (F.col("__th") == F.col("th")))
-    n = F.size("c")
-    total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
-    each = F.when(n == 1, F.col("c")[0]).otherwise(F.floor(total / n))
+    joined = own.join(counts, ["__did", "__th"])
+    n = F.size("__c")
+    total = F.aggregate("__c", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = F.when(n == 1, F.col("__c")[0]).otherwise(F.floor(total / n))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col("__copy") < each).select(*names)

@@ -71,8 +71,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
     return [found[i] for i in sorted(found)]
 
 
-def shard_of(cuts: list[tuple[int, int]]) -> Column:
-    passed = [((F.col("h") > h) | ((F.col("h") == h) & (F.col("g") >= g))).cast("int") for h, g in cuts]
+def shard_of(cuts: list[tuple[int, int]], first: str = "h", second: str = "g") -> Column:
+    passed = [((F.col(first) > h) | ((F.col(first) == h) & (F.col(second) >= g))).cast("int") for h, g in cuts]
     # a balanced sum: a chain of so many additions makes deep plans
     while len(passed) > 1:
         passed = [a + b for a, b in zip(passed[::2], passed[1::2])] + passed[len(passed) // 2 * 2 :]
@@ -103,8 +103,8 @@ def shard_report(docs: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.01) -> None:
     """docs, all columns, exchanged once and written in a folder for each shard, files in key order."""
-    keyed = docs.withColumns({"h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    keyed = keyed.withColumn("g", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "h"))
+    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.withColumn("__g", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h"))
     cuts = splitters(materialize(sized(docs), "sized"), shards, tolerance)
-    placed = keyed.withColumn("shard", shard_of(cuts))
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "h", "g").drop("h", "g").write.partitionBy("shard").parquet(path)
+    placed = keyed.withColumn("__shard", shard_of(cuts, "__h", "__g"))
+    placed.repartition(shards, "__shard").sortWithinPartitions("__shard", "__h", "__g").drop("__h", "__g").write.partitionBy("__shard").parquet(path)
