@@ -11,11 +11,11 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Coefficients, the intercept (free of the penalty) last. A label that all rows share gives its smoothed rate."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12, empty: float = 0.5) -> np.ndarray:
+    """Coefficients, the intercept (free of the penalty) last. A label that all rows share gives its smoothed rate, no rows `empty`."""
     x = np.column_stack((x, np.ones(len(x))))
     beta = np.zeros(x.shape[1])
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else empty
     beta[-1] = np.log(rate / (1 - rate))
     if not len(y) or y.min() == y.max():
         return beta

@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = TE
         for k in range(FOLDS):
             beta = logistic(x[fold != k], aim[fold != k], steps=10)
             held[fold == k] = sigmoid(x[fold == k] @ beta[:-1] + beta[-1])
-        models.append(logistic(x, aim, steps=10))
+        models.append(logistic(x, aim, steps=10, empty=0.01))
         accuracy[name] = float(((held >= 0.5) == (aim > 0.5)).mean()) if len(aim) else 1.0
         x = np.column_stack((x, held))
     return words, models, accuracy
