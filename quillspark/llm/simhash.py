@@ -116,6 +116,21 @@ def verified(keys: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links but the least of its component here, and that least one: alike from every key that holds a group."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, low = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        new, least = low.copy(), np.minimum(low[x], low[y])
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        while (further := new[new]).tolist() != new.tolist():
+            new = further
+        if (new == low).all():
+            return names[low != np.arange(len(low))], names[low[low != np.arange(len(low))]]
+        low = new
+
+
 def links(prints: DataFrame, distance: int, blocks: int, total: int) -> DataFrame:
     """Edges (a, b) of nodes that span the components of distinct fingerprints (fp, more, node)."""
     spark, choice = prints.sparkSession, np.array(masks(blocks, distance), np.uint64)
@@ -140,7 +155,7 @@ def links(prints: DataFrame, distance: int, blocks: int, total: int) -> DataFram
             n = len(kept[0]) if b is None else int(np.searchsorted(kept[0], kept[0][-1]))
             if n:
                 k, f, m, node = (x[:n] for x in kept)
-                yield record(edge, *verified(k, f.view(np.uint64), m.view(np.uint64), node, distance, total))
+                yield record(edge, *stars(*verified(k, f.view(np.uint64), m.view(np.uint64), node, distance, total)))
                 kept = [x[n:] for x in kept]
 
     rows = prints.select("fp", "more", "node").mapInArrow(explode, "key long, fp long, more long, node long")
