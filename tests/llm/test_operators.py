@@ -189,19 +189,25 @@ def test_large_runs_link_like_small_ones():
     node, zero = np.arange(len(fp)), np.zeros(len(fp), np.uint64)
 
     def classes(a, b):
-        top = list(range(len(fp)))
-
-        def root(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
+        near = {}
         for i, j in zip(a.tolist(), b.tolist()):
-            top[root(i)] = root(j)
-        return len({root(i) for i in range(len(fp))})
-
-    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
-    assert classes(i, j) == classes(*simhash.verified(np.zeros(len(fp), np.int64), fp, zero, node, 4, 128))
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        seen, n = set(), 0
+        for start in range(len(fp)):
+            if start not in seen:
+                n += 1
+                seen.add(start)
+                todo = [start]
+                while todo:
+                    new = [j for j in near.get(todo.pop(), ()) if j not in seen]
+                    seen.update(new)
+                    todo += new
+        return n
+
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1))
+    found = simhash.verified(np.zeros(len(fp), np.int64), fp, zero, node, 4, 128)
+    assert classes(i, j) == classes(*found) == classes(*simhash.stars(*found))
 
 
 @pytest.mark.parametrize("window", [35, 8])
