@@ -50,6 +50,11 @@ def flags(p: str = "p", p0: float = 0.5, rate: str = "rate", rate0: float = 1.0,
 
 
 def binomial_tail(k, n):
-    """P(X >= k) of n fair coins, by the product form of each term."""
-    term = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), i)), F.lit(1.0), lambda a, j: F.when(j <= i, a * (n - i + j) / j).otherwise(a))
-    return F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i) / F.pow(F.lit(2.0), n))
+    """P(X >= k) of n fair coins: terms follow from each other in logarithms, so a large n doesn't overflow."""
+    first = F.struct((-F.log(F.lit(2.0)) * n).alias("log"), F.lit(0.0).alias("tail"))
+
+    def step(a, i):
+        tail = a["tail"] + F.when(i >= k, F.exp(a["log"])).otherwise(0.0)
+        return F.struct((a["log"] + F.when(i < n, F.log((n - i) / (i + 1))).otherwise(0.0)).alias("log"), tail.alias("tail"))
+
+    return F.aggregate(F.sequence(F.lit(0), n), first, step)["tail"]
