@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.profiles import LATIN
-from quillspark.operators import articles, corpus, features, metrics, pairs
+from quillspark.operators import articles, corpus, detector, features, metrics, pairs
 
 MARKERS = ["tion", "ement", "heit", "ción", "the"]
 PAGE = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
@@ -280,6 +280,17 @@ def marker_rate_by_source(t):
     return features.marker_rate(t("documents"), MARKERS, "source").orderBy(F.desc("rate"), "source")
 
 
+@query(f"""WITH {LINES}, s AS (SELECT *, round(1 / (1 + h), 6) AS p FROM (SELECT doc_id, idx, text, {_RATE} AS h FROM lines WHERE length(text) >= 20)),
+a AS (SELECT doc_id, round(sum(p * length(text)) / sum(length(text)), 6) AS p_author, round(1000.0::DOUBLE * sum(h) / sum(length(text)), 6) AS marker_rate, count(*) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars,
+md5(array_to_string(list_slice(list(text ORDER BY p, idx), 1, 3), '|')) AS worst FROM s GROUP BY doc_id)
+SELECT *, CASE WHEN p_author < 0.3 THEN 1 WHEN p_author < 0.5 THEN 2 WHEN p_author < 0.85 THEN 3 ELSE 4 END AS band FROM a""")
+def article_scores(t):
+    rows = corpus.units(t("documents"), "doc_id", LATIN).where(F.length("text") >= 20)
+    found = sum((T.hits(F.col("text"), F.lit(m)) for m in MARKERS), F.lit(0.0))
+    out = detector.summary(rows.select("doc_id", "idx", "text", F.round(1 / (1 + found), 6).alias("p")), "doc_id", tuple(MARKERS))
+    return out.withColumn("worst", F.md5(F.array_join(F.transform("worst", lambda w: w["text"]), "|")))
+
+
 _CHRF = " UNION ALL ".join(f"SELECT lang, doc_id, side, {n} AS n, substr(t, i, {n}) AS g FROM ix WHERE i <= length(t) - {n - 1}" for n in range(1, 7))
 
 
