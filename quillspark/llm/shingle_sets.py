@@ -1,0 +1,153 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of `least` or more, every link checked exactly.
+
+Equal sets are one row. Sets that agree on ROWS minima of hashes in one of BANDS bands meet; at a similarity of 0.8 a pair
+meets nowhere about once in a million. What meets, directly or through others, makes a loose group. Each loose group is
+read once: prefixes of rarest shingles find the pairs, whose sets are then compared in full. A row reached is never
+compared again, so a group of near copies costs no more than its rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import NO_ID, chunks, column, components, materialize, partitions, record
+
+ROWS, BANDS, SLAB = 6, 45, 1 << 12
+_RNG = np.random.default_rng(6)
+ADD = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)[:, None]
+TIMES = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)[:, None] | np.uint64(1)
+MIX = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+NUMBER = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(body: bytes, k: int) -> np.ndarray:
+    """The sorted set of hashes of a text's lower-cased (A-Z) k-word shingles; fewer words: one shingle; none: no shingle."""
+    words = body.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts, k = np.concatenate(([0], ends[:-1] + 1)), min(k, len(words))
+    digests = [xxhash.xxh64_digest(line[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
+
+
+def bands(signs: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set, which two sets share with probability similarity ** ROWS each."""
+    low = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
+    for i in range(0, len(signs), SLAB):
+        mixed = (signs[None, i : i + SLAB] ^ ADD) * TIMES
+        low = np.minimum(low, mixed.min(axis=1))
+    x = low.reshape(BANDS, ROWS)
+    x = ((x ^ (x >> np.uint64(31))) * MIX).sum(axis=1, dtype=np.uint64) + NUMBER
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def exact(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the place of the first one of its component under Jaccard similarity >= least."""
+    sizes = np.array([len(x) for x in sets])
+    names, at, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    # rarest first: shingles that all share come last and find no pairs
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(names))
+    ordered = [np.sort(x) for x in np.split(rank[at], np.cumsum(sizes)[:-1])]
+    prefix = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in ordered]
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in prefix])
+    flat = np.concatenate([*prefix, np.zeros(0, np.int64)])
+    by = np.argsort(flat, kind="stable")
+    flat, who = flat[by], who[by]
+
+    root, left, empty = np.arange(len(sets)), np.ones(len(sets), bool), np.flatnonzero(sizes == 0)
+    root[empty], left[empty] = (empty[0] if len(empty) else 0), False
+    kept = len(who)
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        todo, left[first] = [first], False
+        while todo:
+            i = todo.pop()
+            a, b = np.searchsorted(flat, prefix[i], "left"), np.searchsorted(flat, prefix[i], "right")
+            # as many as the prefix has shingles
+            met = np.unique(np.concatenate([who[x:y] for x, y in zip(a.tolist(), b.tolist())]))
+            met = met[left[met] & (sizes[met] >= least * sizes[i] - 1e-9) & (least * sizes[met] <= sizes[i] + 1e-9)]
+            for j in met.tolist():
+                common = len(np.intersect1d(ordered[i], ordered[j], assume_unique=True))
+                if common >= least * (sizes[i] + sizes[j] - common) - 1e-9:
+                    root[j], left[j] = first, False
+                    todo.append(j)
+            # reached rows leave the index once they are half of it
+            if len(met) and 2 * (n := int(left[who].sum())) < kept:
+                stay = left[who]
+                flat, who, kept = flat[stay], who[stay], n
+    return root
+
+
+def text_keys(docs: DataFrame) -> DataFrame:
+    """(did, th, body): as `keyed`, but with 64 bits of hash, as many null ids may stand on many texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("body"))
+
+
+def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(did, th, node, root) of each row of docs (doc_id, text, ...): node names its set of shingles, root its group.
+
+    Texts without words have the empty set and are one group. A loose group is one task: its distinct sets are held together.
+    """
+    spark = docs.sparkSession
+    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def read(batches):
+        for b in chunks(batches):
+            sets = [shingles(x, shingle) for x in b.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield record(own, b.column(0), b.column(1), nodes, [bands(x) for x in sets])
+
+    def meet(batches):
+        last = None
+        for b in batches:
+            key, node = column(b, "key"), column(b, "node")
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            first = np.repeat(node[starts], np.diff(np.append(starts, len(key))))
+            if last is not None and len(key):
+                first[key == last[0]] = last[1]
+            if len(key):
+                last = key[-1], first[-1]
+                pairs = np.unique(np.stack([first, node])[:, first != node], axis=1)
+                yield record(edge, pairs[0], pairs[1])
+
+    def compare(batches):
+        held, nodes, at = [], [], None
+
+        def done():
+            r = exact(held, least)
+            names = np.array(nodes, np.int64)
+            return record(edge, names, names[r])
+
+        for b in chunks(batches, 1 << 20):
+            for loose, node, body in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if loose != at and held:
+                    yield done()
+                    held, nodes = [], []
+                if not (nodes and node == nodes[-1] and loose == at):
+                    held.append(shingles(body, shingle))
+                    nodes.append(node)
+                at = loose
+        if held:
+            yield done()
+
+    prints = materialize(text_keys(docs).mapInArrow(read, "did long, th long, node long, keys array<long>"), "sets")
+    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th")).alias("s"))
+    rows = prints.select("node", F.explode("keys").alias("key")).select("key", "node").distinct()
+    met = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long")
+    loose = components(materialize(met, "met"))
+    loose = loose.union(loose.select("root", "root").distinct())
+    # what met nothing but itself needs no reading; of those that did, one row a set is read again
+    again = materialize(loose.join(distinct, "node").select(F.col("root").alias("loose"), "node", "s.did", "s.th"), "again")
+    texts = text_keys(docs).join(again, ["did", "th"]).select("loose", "node", "body")
+    found = texts.repartition(partitions(spark), "loose").sortWithinPartitions("loose", "node").mapInArrow(compare, "a long, b long")
+    found = materialize(found.toDF("node", "root").where("node <> root"), "exact")
+    return prints.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root"))

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import shingle_sets
 from quillspark.llm.common import NO_ID, back, chunks, column, components, keyed, materialize, partitions, record
 
 #: Shingles hashed at a time: bounds memory on very long texts.
@@ -166,8 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 12, block
     """(did, th, fp, component) of each row of docs (doc_id, text, ...).
 
     Links: `distance` bits or fewer of 64; with `total`, also that many or fewer of a 128-bit fingerprint, which
-    keeps chance meetings of short prints apart. The defaults, for five-word shingles, take in a Jaccard similarity
-    of 0.8 in most cases and one of 0.9 in nearly all.
+    keeps chance meetings of short prints apart. Bits only estimate a Jaccard similarity; `shingle_sets` checks it.
 
     Null texts have no words; texts without words have fingerprint zero and link to each other. Rows that repeat and
     equal texts get one component. A null doc_id never names a component unless the group has no other id.
@@ -188,13 +188,13 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each component the one with the least (doc_id, text hash).
+    """The rows of docs, all columns, that stay: of each group of `shingle_sets` the one with the least (doc_id, text hash).
 
     Repeated rows of that id and text leave one. Null ids count as the least.
     """
-    found = near_duplicates(docs, **parameters)
-    stay = found.groupBy("component").agg(F.min(F.struct("did", "th")).alias("s")).select("s.did", "s.th")
+    found = shingle_sets.groups(docs, **parameters)
+    stay = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("s")).select("s.did", "s.th")
     names = docs.columns
-    own = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__did"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("__th"))
+    own = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__did"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__th"))
     kept = own.join(stay, (F.col("__did") == stay["did"]) & (F.col("__th") == stay["th"]), "left_semi")
     return kept.dropDuplicates(["__did", "__th"]).select(*names)

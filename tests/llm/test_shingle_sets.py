@@ -1,0 +1,83 @@
+"""Groups by exact Jaccard similarity of word shingles against all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+from quillspark.llm import shingle_sets, simhash
+
+
+def plain(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, min(len(words), 1)))}
+
+
+def alike(a, b):
+    return a == b or (bool(a | b) and len(a & b) >= 0.8 * len(a | b))
+
+
+def roots(sets):
+    top = list(range(len(sets)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                top[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+def same(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Bases with copies in which a run of words is new, so that similarities lie on both sides of 0.8."""
+    rnd, out = random.Random(8), []
+    fresh = iter(range(10**9))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    for _ in range(60):
+        base = words(rnd.randrange(40, 300))
+        out.append(" ".join(base))
+        for share in (0.04, 0.07, 0.09, 0.1, 0.11, 0.12, 0.14, 0.2, 0.3):
+            n, t = max(1, round(share * len(base))), list(base)
+            at = rnd.randrange(len(t) - n + 1)
+            t[at : at + n] = words(n)
+            out.append((" " if rnd.random() < 0.5 else "\n").join(t).upper())
+    # one phrase many times over: alike as counted shingles, not as sets
+    out += ["a b c d e " * 400 + " ".join(words(60)) for _ in range(2)]
+    return out + ["", None, " \n", "one two", "One  TWO", "one three"]
+
+
+def test_exact_links_are_all_pairs_at_the_similarity(texts):
+    sets = [shingle_sets.shingles((t or "").encode(), 5) for t in texts]
+    assert [len(x) for x in sets] == [len(plain(t)) for t in texts]
+    assert same(shingle_sets.exact(sets, 0.8).tolist(), roots([plain(t) for t in texts]))
+    # edges: 8 of 10 is in, 79 of 100 is not
+    a = [np.arange(0, 9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)]
+    b = [np.arange(100, dtype=np.uint64), np.arange(79, dtype=np.uint64)]
+    assert len(set(shingle_sets.exact(a, 0.8))) == 1 and len(set(shingle_sets.exact(b, 0.8))) == 2
+
+
+def test_near_duplicates_are_exact(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5)
+    want = roots([plain(t) for t in texts])
+    found = {r.did: r.root for r in shingle_sets.groups(docs).collect()}
+    assert same([found[i] for i in range(len(texts))], want)
+    first = {}
+    for i, r in enumerate(want):
+        first.setdefault(r, i)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == sorted(first.values())
+
+
+def test_one_id_and_null_ids_on_unlike_texts(spark, texts):
+    unlike = [t for i, t in enumerate(texts[:300]) if i % 10 == 0]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(unlike)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.deduplicated(docs).collect()) == sorted(unlike)
