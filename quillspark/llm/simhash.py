@@ -164,21 +164,24 @@ def links(prints: DataFrame, distance: int, blocks: int, total: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 12, blocks: int = 14, total: int | None = 24) -> DataFrame:
-    """(did, th, fp, component) of each row of docs (doc_id, text, ...).
+    """(did, th, fp, root, component) of each row of docs (doc_id, text, ...).
 
     Links: `distance` bits or fewer of 64; with `total`, also that many or fewer of a 128-bit fingerprint, which
     keeps chance meetings of short prints apart. Bits only estimate a Jaccard similarity; `shingle_sets` checks it.
 
     Null texts have no words; texts without words have fingerprint zero and link to each other. Rows that repeat and
-    equal texts get one component. A null doc_id never names a component unless the group has no other id.
+    equal texts get one root, which tells groups apart. component is the least id of the group, for reports: null ids
+    don't count unless it has no other, and groups that share an id may share the name.
     """
     prints = materialize(fingerprints(docs, shingle, total is not None), "prints")
-    node = F.coalesce(F.min(F.when(F.col("did") != NO_ID, F.col("did"))), F.lit(NO_ID)).alias("node")
-    distinct = materialize(prints.groupBy("fp", "more").agg(node), "distinct")
-    # ids that repeat over several fingerprints make these one node, as one id can be but in one component
+    # a node is a print, whatever its ids
+    node = F.col("fp") if total is None else F.xxhash64("fp", "more")
+    least = F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least")
+    distinct = materialize(prints.groupBy("fp", "more").agg(least).withColumn("node", node), "distinct")
     found = components(materialize(links(distinct, distance, blocks, 128 if total is None else total), "links"))
-    rooted = distinct.join(found, "node", "left").select("fp", "more", F.coalesce("root", "node").alias("component"))
-    return prints.join(rooted, ["fp", "more"]).select("did", "th", "fp", "component")
+    rooted = distinct.join(found, "node", "left").select("fp", "more", "least", F.coalesce("root", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.coalesce(F.min("least"), F.lit(NO_ID)).alias("component"))
+    return prints.join(rooted.join(names, "root").select("fp", "more", "root", "component"), ["fp", "more"]).select("did", "th", "fp", "root", "component")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

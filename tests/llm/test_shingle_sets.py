@@ -81,3 +81,14 @@ def test_one_id_and_null_ids_on_unlike_texts(spark, texts):
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(unlike)]
     docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
     assert sorted(r.text for r in simhash.deduplicated(docs).collect()) == sorted(unlike)
+
+
+def test_prints_are_nodes_whatever_their_ids(spark, texts):
+    unlike = [t for i, t in enumerate(texts[:100]) if i % 10 == 0]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(unlike)] + [(9, unlike[1])], "doc_id long, text string")
+    for form in ({}, {"shingle": 4, "distance": 4, "blocks": 7, "total": None}):
+        found = simhash.near_duplicates(docs, **form).collect()
+        assert len({r.root for r in found}) == len(unlike)
+    # the id on another text names only its own group
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.fingerprint_report(docs).collect())
+    assert got == sorted([("7", "7")] * 5 + [("None", "None")] * 4 + [("None", "9"), ("9", "9")])
