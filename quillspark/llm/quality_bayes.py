@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import NO_ID, back, chunks, keyed, materialize, record
@@ -37,18 +37,29 @@ def features(body: bytes) -> list[float]:
     ]
 
 
+def site_host(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def site_path(docs: DataFrame) -> Column:
+    host = site_host(docs)
+    return F.concat(host, F.lit("/"), F.coalesce(F.col("lang"), F.lit(""))) if "lang" in docs.columns else host
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """(did, host, path, x): the measurements of each row."""
-    schema = pa.schema([("did", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float32()))])
+    """(did, key, host, path, x): the measurements of each row; key is a hash of its text."""
+    schema = pa.schema([("did", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float32()))])
 
     def run(batches):
         for b in chunks(batches):
-            yield record(schema, b.column(0), b.column(3), b.column(4), [features(x) for x in b.column(2).to_pylist()])
+            yield record(schema, b.column(0), b.column(5), b.column(3), b.column(4), [features(x) for x in b.column(2).to_pylist()])
 
-    host = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
-    path = F.concat(host, F.lit("/"), F.coalesce(F.col("lang"), F.lit(""))) if "lang" in docs.columns else host
-    rows = keyed(docs.select("doc_id", "text", host.alias("host"), path.alias("path")), "host", "path")
-    return rows.mapInArrow(run, "did long, host string, path string, x array<float>")
+    rows = keyed(docs.select("doc_id", "text", site_host(docs).alias("host"), site_path(docs).alias("path"), text_key().alias("key")), "host", "path", "key")
+    return rows.mapInArrow(run, "did long, key long, host string, path string, x array<float>")
 
 
 def shrink(total, n, parent, strength):
@@ -68,7 +79,7 @@ def strength(sites: DataFrame, parent: str) -> float:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(did, evidence, host_rate, path_rate, posterior) of each row; without labels the evidence is neutral."""
+    """(did, key, path, evidence, host_rate, path_rate, posterior) of each row; without labels the evidence is neutral."""
     rows = materialize(measured(docs), "measured")
     # at most about `sample` rows of eleven numbers
     chosen = F.broadcast(labelled(rows, labels, "quality", sample))
@@ -81,7 +92,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     else:
         weights, bias = np.zeros(11), 0.0
     logit = sum((F.col("x")[i].cast("double") * float(w) for i, w in enumerate(weights)), F.lit(bias))
-    scored = rows.select("did", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit)).alias("z"))
+    scored = rows.select("did", "key", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit)).alias("z"))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")]
     paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
@@ -99,7 +110,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     odds = lambda c: F.log(c / (1 - c))
     out = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     final = F.col("z") + odds(F.col("path_rate")) - float(np.log(base / (1 - base)))
-    return out.select("did", F.col("p").alias("evidence"), "host_rate", "path_rate", (1 / (1 + F.exp(-final))).alias("posterior"))
+    return out.select("did", "key", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", (1 / (1 + F.exp(-final))).alias("posterior"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,10 +119,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps. Rows that repeat an id stay or go by their greatest posterior."""
-    keep = posteriors(docs, labels).groupBy("did").agg(F.max("posterior").alias("m")).where(F.col("m") >= CUT)
-    own = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return own.join(keep.select(F.col("did").alias("__did")), "__did", "left_semi").select(*docs.columns)
+    """The rows of docs, all columns, that the classifier keeps. Rows equal in id, text, source and language are judged alike."""
+    kept = posteriors(docs, labels).where(F.col("posterior") >= CUT).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("path").alias("__path")).distinct()
+    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": text_key(), "__path": site_path(docs)})
+    return own.join(kept, ["__did", "__key", "__path"], "left_semi").select(*docs.columns)
 
 
 __all__ = ["accepted", "features", "posteriors", "quality_report", "sigmoid"]
