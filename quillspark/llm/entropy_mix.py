@@ -104,12 +104,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it (not at all, once or more)."""
-    counts = mixed(docs).groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_list("copies")).alias("__c"))
-    own = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__th", F.hash(F.coalesce("text", F.lit(""))))
-    names = docs.columns
-    # rows equal in id and text share their copies evenly, rounded down
-    joined = own.join(counts, ["__did", "__th"])
-    n = F.size("__c")
-    total = F.aggregate("__c", F.lit(0).cast("long"), lambda a, x: a + x)
-    each = F.when(n == 1, F.col("__c")[0]).otherwise(F.floor(total / n))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col("__copy") < each).select(*names)
+    key = ["__did", "__th", "__source", "__size"]
+    taken = mixed(docs).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), F.col("size").alias("__size"), "copies")
+    counts = taken.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("copies").alias("__total"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")) if "source" in docs.columns else F.lit("")
+    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.hash(F.coalesce("text", F.lit(""))), "__source": source, "__size": n_words(F.col("text"))})
+    # rows equal in all of these share their copies: the first total % n take one more than the others
+    joined = own.join(counts, key).withColumn("__k", F.row_number().over(W.partitionBy(*key).orderBy("__total")))
+    each = F.floor(F.col("__total") / F.col("__n")) + (F.col("__k") <= F.col("__total") % F.col("__n")).cast("long")
+    return joined.withColumn("__each", each).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col("__copy") < F.col("__each")).select(*docs.columns)

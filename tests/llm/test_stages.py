@@ -24,3 +24,12 @@ def test_rejected_rows_go_whatever_their_ids(repeated):
     kept = quality_bayes.quality_report(docs, labels).where("kept").count()
     assert 0 < kept < docs.count()
     assert quality_bayes.accepted(docs, labels).count() == kept
+
+
+def test_equal_rows_take_their_copies(repeated):
+    docs, _ = repeated
+    words = {}
+    for r in entropy_mix.mixture(docs).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    out = entropy_mix.mixed(docs).selectExpr("source", "copies * size AS taken").groupBy("source").sum("taken").collect()
+    assert words == {r[0]: r[1] for r in out}
