@@ -1,9 +1,17 @@
-"""SimHash near-duplicates: fingerprints that differ in few bits share blocks; join on blocks, verify the distance.
+"""SimHash near-duplicates: fingerprints are split so that close pairs share a block; join on blocks, verify the distance.
 
-Equal fingerprints are one row before any search, so copies cost nothing. Two fingerprints that differ in at most
-`distance` bits agree wholly on `blocks - distance` of `blocks` blocks; each choice of so many blocks is a key. Rows
-meet by key, sorted, and each run of one key is verified in numpy, which emits only a spanning forest of its links:
-no list of all pairs is ever made. Components are found with tables in the shared folder.
+Two searches share this plan. Equal fingerprints are one row before either, so copies cost nothing, and components are
+found with tables in the shared folder.
+
+`near_duplicates` is exact at a few of 64 bits: prints that differ in at most `distance` bits agree wholly on
+`blocks - distance` of `blocks` blocks, and each choice of so many blocks is a key. Rows meet by key, sorted, and each
+run of one key is verified in numpy, which emits only a spanning forest of its links.
+
+`alike` looks for texts whose sets of shingles have a Jaccard similarity of `least` or more. At 0.8 two prints differ in
+some 15% of their bits, too many for keys of several blocks, so its prints are wide: BLOCKS blocks of WIDTH bits, of which
+close pairs share one or more, and CHECK bits beside them whose Hamming distance is verified. What passes is compared by
+the exact sets of shingles. Of the rows that share a block one leads and the others are compared with it, so a group of
+copies gives a pair for each row and shared block, never all pairs; what one map task holds of a group is settled there.
 """
 
 from __future__ import annotations
@@ -13,47 +21,64 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import shingle_sets
-from quillspark.llm.common import NO_ID, back, chunks, column, components, keyed, materialize, partitions, record
+from quillspark.llm.common import NO_ID, back, chunks, column, components, free, keyed, materialize, partitions, record
 
 #: Shingles hashed at a time: bounds memory on very long texts.
 SLAB = 1 << 17
 #: Runs up to this size are compared as pairs of rows, larger ones by search from row to row.
 PAIRED, BLOCKED = 64, 2048
+#: Wide prints: blocks, bits in each, bits of the check, and how many of these may differ (at 0.8 some 19 of 128 do).
+BLOCKS, WIDTH, CHECK, LIMIT = 64, 20, 128, 28
+SALTS = 64
 
 
-def signature(body: bytes, shingle: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit SimHash per seed of a text's lower-cased (A-Z) word shingles; no word: zeros."""
+def shingle_spans(body: bytes, k: int) -> tuple[bytes, list[int], list[int]]:
+    """Lower-cased (A-Z) words joined by spaces, and where each shingle starts and ends; fewer words: one shingle; none: no shingle."""
     words = body.lower().split()
     if not words:
-        return [0] * len(seeds)
+        return b"", [], []
     line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(shingle, len(words))
-    starts, ends, n = starts[: len(words) - k + 1], ends[k - 1 :], len(words) - k + 1
-    counts = np.zeros((len(seeds), 64), np.int64)
-    for i in range(0, n, SLAB):
-        parts = [line[a:b] for a, b in zip(starts[i : i + SLAB].tolist(), ends[i : i + SLAB].tolist())]
-        for j, seed in enumerate(seeds):
-            raw = b"".join([xxhash.xxh64_digest(p, seed) for p in parts])
-            counts[j] += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(c * 2 > n).tobytes(), "big") for c in counts]
-
-
-def fingerprints(docs: DataFrame, shingle: int = 5, wide: bool = False) -> DataFrame:
-    """(did, th, fp, more): SimHash of each whole text as a signed long; more: a second one, or 0 unless `wide`."""
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("fp", pa.int64()), ("more", pa.int64())])
-    seeds = (42, 43) if wide else (42,)
+    starts, k = np.concatenate(([0], ends[:-1] + 1)), min(k, len(words))
+    return line, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+
+
+def digests(body: bytes, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included, SLAB at a time."""
+    line, starts, ends = shingle_spans(body, k)
+    parts = [b"".join([xxhash.xxh64_digest(line[a:b], 42) for a, b in zip(starts[i : i + SLAB], ends[i : i + SLAB])]) for i in range(0, len(starts), SLAB)]
+    return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
+
+
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    """Booleans of a SimHash of 64 * words bits of hashes (word 0: the hashes themselves): set in over half of them."""
+    offsets, counts = STEP * np.arange(words, dtype=np.uint64), np.zeros(64 * words, np.int64)
+    # as many rows as a byte can count
+    for i in range(0, len(h), 255):
+        wide = h[i : i + 255, None] + offsets
+        wide[:, 1:] = spread(wide[:, 1:])
+        bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return counts * 2 > len(h)
+
+
+def signature(body: bytes, shingle: int) -> int:
+    """The 64-bit SimHash of a text's word shingles; no word: zero."""
+    return int.from_bytes(np.packbits(majority(digests(body, shingle), 1)).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(did, th, fp): SimHash of each whole text as a signed long; a null text has no words."""
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("fp", pa.int64())])
 
     def run(batches):
         for b in chunks(batches):
-            prints = np.array([signature(x, shingle, seeds) for x in b.column(2).to_pylist()], np.uint64).reshape(b.num_rows, -1).view(np.int64)
-            yield record(schema, b.column(0), b.column(1), prints[:, 0], prints[:, 1] if wide else np.zeros(b.num_rows, np.int64))
+            yield record(schema, b.column(0), b.column(1), np.array([signature(x, shingle) for x in b.column(2).to_pylist()], np.uint64).view(np.int64))
 
-    return keyed(docs).mapInArrow(run, "did long, th int, fp long, more long")
+    return keyed(docs).mapInArrow(run, "did long, th int, fp long")
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -63,25 +88,27 @@ def masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def spread(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def near(a, b, c, d, distance: int, total: int) -> np.ndarray:
-    one = np.bitwise_count(a ^ b)
-    return (one <= distance) & (one + np.bitwise_count(c ^ d) <= total)
+def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= distance
 
 
-def forest(fp: np.ndarray, more: np.ndarray, distance: int, total: int) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that span the components of one run. A row reached is never compared again, so dense runs cost little."""
     left, found = np.arange(len(fp)), []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             i = todo.pop()
-            hit = near(fp[i], fp[left], more[i], more[left], distance, total)
+            hit = near(fp[i], fp[left], distance)
             if hit.any():
                 reached = left[hit]
                 found += [(i, j) for j in reached]
@@ -90,7 +117,7 @@ def forest(fp: np.ndarray, more: np.ndarray, distance: int, total: int) -> list[
     return found
 
 
-def verified(keys: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def verified(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows of equal key (rows sorted by key)."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -100,18 +127,18 @@ def verified(keys: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarra
     while len(at):
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
-        hit = at[near(fp[at], fp[at + step], more[at], more[at + step], distance, total)]
+        hit = at[near(fp[at], fp[at + step], distance)]
         a.append(node[hit])
         b.append(node[hit + step])
         step += 1
     for s, n in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
-        f, m = fp[s : s + n], more[s : s + n]
+        f = fp[s : s + n]
         links = None
         if n <= BLOCKED:
-            i, j = np.nonzero(np.triu(near(f[:, None], f[None, :], m[:, None], m[None, :], distance, total), 1))
+            i, j = np.nonzero(np.triu(near(f[:, None], f[None, :], distance), 1))
             links = (i, j) if len(i) <= 2 * n else None
         if links is None:
-            links = np.array(forest(f, m, distance, total), np.int64).reshape(-1, 2).T
+            links = np.array(forest(f, distance), np.int64).reshape(-1, 2).T
         a.append(node[s + links[0]])
         b.append(node[s + links[1]])
     return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
@@ -132,72 +159,220 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
-def links(prints: DataFrame, distance: int, blocks: int, total: int) -> DataFrame:
-    """Edges (a, b) of nodes that span the components of distinct fingerprints (fp, more, node)."""
+def links(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """Edges (a, b) that span the components of distinct fingerprints (fp)."""
     spark, choice = prints.sparkSession, np.array(masks(blocks, distance), np.uint64)
-    out = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("node", pa.int64())])
+    out = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def explode(batches):
         for b in batches:
-            fp, more, node = (column(b, c) for c in ("fp", "more", "node"))
+            fp = column(b, "fp")
             for i, mask in enumerate(choice):
-                yield record(out, spread((fp.view(np.uint64) & mask) + spread(np.uint64([i + 1]))).view(np.int64), fp, more, node)
+                yield record(out, spread((fp.view(np.uint64) & mask) + spread(np.uint64([i + 1]))).view(np.int64), fp)
 
     def verify(batches):
         kept = None
         for b in (*batches, None):
             if b is not None:
-                rows = [column(b, c) for c in ("key", "fp", "more", "node")]
+                rows = [column(b, c) for c in ("key", "fp")]
                 kept = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows)]
             if kept is None or not len(kept[0]):
                 continue
             # the last run may go on in the next batch
             n = len(kept[0]) if b is None else int(np.searchsorted(kept[0], kept[0][-1]))
             if n:
-                k, f, m, node = (x[:n] for x in kept)
-                yield record(edge, *stars(*verified(k, f.view(np.uint64), m.view(np.uint64), node, distance, total)))
+                k, f = (x[:n] for x in kept)
+                yield record(edge, *stars(*verified(k, f.view(np.uint64), f, distance)))
                 kept = [x[n:] for x in kept]
 
-    rows = prints.select("fp", "more", "node").mapInArrow(explode, "key long, fp long, more long, node long")
+    rows = prints.select("fp").mapInArrow(explode, "key long, fp long")
     return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 12, blocks: int = 14, total: int | None = 24) -> DataFrame:
-    """(did, th, fp, root, component) of each row of docs (doc_id, text, ...).
-
-    Links: `distance` bits or fewer of 64; with `total`, also that many or fewer of a 128-bit fingerprint, which
-    keeps chance meetings of short prints apart. Bits only estimate a Jaccard similarity; `shingle_sets` checks it.
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(did, th, fp, root, component) of each row of docs (doc_id, text, ...); links: `distance` bits or fewer of 64.
 
-    Null texts have no words; texts without words have fingerprint zero and link to each other. Rows that repeat and
-    equal texts get one root, which tells groups apart. component is the least id of the group, for reports: null ids
-    don't count unless it has no other, and groups that share an id may share the name.
+    A node is a fingerprint, whatever its ids. Null texts have no words; texts without words have fingerprint zero and
+    link to each other. Rows that repeat and equal texts get one root, which tells groups apart. component is the least
+    id of the group, for reports: null ids don't count unless it has no other, and groups that share an id may share
+    the name.
     """
-    prints = materialize(fingerprints(docs, shingle, total is not None), "prints")
-    # a node is a print, whatever its ids
-    node = F.col("fp") if total is None else F.xxhash64("fp", "more")
+    prints = materialize(fingerprints(docs, shingle), "prints")
     least = F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least")
-    distinct = materialize(prints.groupBy("fp", "more").agg(least).withColumn("node", node), "distinct")
-    found = components(materialize(links(distinct, distance, blocks, 128 if total is None else total), "links"))
-    rooted = distinct.join(found, "node", "left").select("fp", "more", "least", F.coalesce("root", "node").alias("root"))
+    distinct = materialize(prints.groupBy("fp").agg(least), "distinct")
+    found = components(materialize(links(distinct, distance, blocks), "links"))
+    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.coalesce(F.min("least"), F.lit(NO_ID)).alias("component"))
-    return prints.join(rooted.join(names, "root").select("fp", "more", "root", "component"), ["fp", "more"]).select("did", "th", "fp", "root", "component")
+    return prints.join(rooted.join(names, "root").select("fp", "root", "component"), "fp").select("did", "th", "fp", "root", "component")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Contract form: four-word shingles, links at four or fewer of 64 bits."""
-    found = near_duplicates(docs, shingle=4, distance=4, blocks=7, total=None)
+    found = near_duplicates(docs)
     return found.select(back(F.col("did")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back(F.col("component")).alias("component_id"))
 
 
+def shingle_set(body: bytes, k: int) -> np.ndarray:
+    """The sorted set of hashes of a text's k-word shingles."""
+    return np.unique(digests(body, k))
+
+
+def wide_print(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(BLOCKS block keys, CHECK bits as longs) of a set of shingles; a key names its block too."""
+    bits = majority(signs, (BLOCKS * WIDTH + CHECK) // 64)
+    values = bits[CHECK:].reshape(BLOCKS, WIDTH) @ (1 << np.arange(WIDTH))
+    return (np.arange(BLOCKS) << WIDTH | values).astype(np.int32), np.frombuffer(np.packbits(bits[:CHECK]).tobytes(), ">i8").astype(np.int64)
+
+
+def lead(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, row) places of rows sorted by key: the first row of a run leads those within LIMIT of it, the first of the others leads next, and so on."""
+    left, a, b = np.arange(len(key)), [], []
+    while len(left):
+        first = np.concatenate(([True], key[left[1:]] != key[left[:-1]]))
+        leader = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        close = ~first & (np.bitwise_count(check[leader] ^ check[left]).sum(axis=1) <= LIMIT)
+        a.append(leader[close])
+        b.append(left[close])
+        rest = ~first & ~close
+        left = left[rest]
+    return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
+
+
+def met(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of distinct wide prints (node, keys, check) that share a block and pass the check."""
+    spark = distinct.sparkSession
+    # a negative key carries a pair that a map task has found: (node, c0) is the pair, and any task may pass it on
+    dealt = pa.schema([("key", pa.int32()), ("node", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64())])
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node = column(b, "node")
+            keys = b.column(b.schema.get_field_index("keys")).flatten().to_numpy().reshape(-1, BLOCKS)
+            check = b.column(b.schema.get_field_index("check")).flatten().to_numpy().reshape(-1, CHECK // 64)
+            for i in range(BLOCKS):
+                # leaders differ from block to block, so that a row has more than one chance
+                by = np.lexsort((spread(node.view(np.uint64) + np.uint64(i)), keys[:, i]))
+                k, n, c = keys[by, i], node[by], check[by].view(np.uint64)
+                same = np.concatenate(([False], k[1:] == k[:-1]))
+                first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+                close = same & (np.bitwise_count(c[first] ^ c).sum(axis=1) <= LIMIT)
+                c = c.view(np.int64)
+                yield record(dealt, k[~close], n[~close], c[~close, 0], c[~close, 1])
+                if close.any():
+                    a, z = n[first[close]], n[close]
+                    yield record(dealt, -1 - (z & 0xFFFFF).astype(np.int32), a, z, np.zeros(len(z), np.int64))
+
+    def verify(batches):
+        held = None
+        for b in (*batches, None):
+            if b is not None:
+                rows = [column(b, c) for c in ("key", "node", "c0", "c1")]
+                done = rows[0] < 0
+                if done.any():
+                    yield record(edge, rows[1][done], rows[2][done])
+                    rows = [x[~done] for x in rows]
+                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if held is None or not len(held[0]):
+                continue
+            n = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+            if n:
+                key, node, c0, c1 = (x[:n] for x in held)
+                by = np.lexsort((spread(node.view(np.uint64) + (key >> WIDTH).astype(np.uint64)), key))
+                x, y = lead(key[by], node[by], np.stack((c0[by], c1[by]), axis=1).view(np.uint64))
+                yield record(edge, node[by][x], node[by][y])
+                held = [x[n:] for x in held]
+
+    rows = distinct.select("node", "keys", "check").mapInArrow(deal, "key int, node long, c0 long, c1 long")
+    pairs = rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of `least` or more; texts: (node, zip), one row a node.
+
+    A node in very many pairs is dealt with its text to up to SALTS tasks.
+    """
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        unzip, held, own = zstandard.ZstdDecompressor().decompress, None, None
+        for batch in chunks(batches, 1 << 20):
+            a, b, keep = column(batch, "a"), column(batch, "b"), []
+            ours, others = batch.column(2), batch.column(3)
+            for i, x in enumerate(a.tolist()):
+                if x != held:
+                    held, own = x, shingle_set(unzip(ours[i].as_py()), shingle)
+                other = shingle_set(unzip(others[i].as_py()), shingle)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(common >= least * (len(own) + len(other) - common) - 1e-9)
+            keep = np.array(keep, bool)
+            yield record(edge, a[keep], b[keep])
+
+    salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+    ours = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.col("zip").alias("ours"))
+    both = salted.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", F.col("zip").alias("others"))
+    rows = both.join(ours, ["a", "salt"]).select("a", "b", "ours", "others")
+    return rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+
+
+def text_keys(docs: DataFrame) -> DataFrame:
+    """(did, th, body): as `keyed`, but with 64 bits of hash, as many null ids may stand on many texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("body"))
+
+
+def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(did, th, node, root) of each row of docs (doc_id, text, ...): node names its set of shingles, root its group.
+
+    Every link is an exact Jaccard similarity of `least` or more; which pairs are looked at is up to the prints, so some
+    are missed (README: recall). Texts without words have the empty set and are one group.
+    """
+    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int32())), ("check", pa.list_(pa.int64()))])
+    zipped = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("zip", pa.binary())])
+
+    def read(batches):
+        for b in chunks(batches):
+            sets = [shingle_set(x, shingle) for x in b.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield record(own, b.column(0), b.column(1), nodes, *zip(*map(wide_print, sets)))
+
+    def press(batches):
+        zip_ = zstandard.ZstdCompressor(3).compress
+        for b in chunks(batches):
+            yield record(zipped, b.column(0), b.column(1), [zip_(x) for x in b.column(2).to_pylist()])
+
+    prints = materialize(text_keys(docs).mapInArrow(read, "did long, th long, node long, keys array<int>, check array<long>"), "prints")
+    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "keys", "check")).alias("s")).select("node", "s.*")
+    distinct = materialize(distinct, "distinct")
+    pairs = materialize(met(distinct), "pairs")
+    # texts of the nodes in pairs, one row a node
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = distinct.select("node", "did", "th").join(asked, "node", "left_semi")
+    texts = text_keys(docs).mapInArrow(press, "did long, th long, zip binary").join(asked, ["did", "th"]).select("node", "zip").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    # one pair for each node first; of the others only those that would still join two groups
+    first = materialize(compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "first")
+    found = components(first)
+    root = lambda side: found.toDF(side, f"{side}_root")
+    open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    more = compared(open_, texts, shingle, least)
+    found = components(materialize(first.union(more), "links"))
+    return prints.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root"))
+
+
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each group of `shingle_sets` the one with the least (doc_id, text hash).
+    """The rows of docs, all columns, that stay: of each group of `alike` the one with the least (doc_id, text hash).
 
     Repeated rows of that id and text leave one. Null ids count as the least.
     """
-    found = shingle_sets.groups(docs, **parameters)
-    stay = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("s")).select("s.did", "s.th")
+    stay = alike(docs, **parameters).groupBy("root").agg(F.min(F.struct("did", "th")).alias("s")).select("s.did", "s.th")
     names = docs.columns
-    own = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__did"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__th"))
-    kept = own.join(stay, (F.col("__did") == stay["did"]) & (F.col("__th") == stay["th"]), "left_semi")
-    return kept.dropDuplicates(["__did", "__th"]).select(*names)
+    did, th = free(names, "did", "th")
+    own = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(did), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(th))
+    kept = own.join(stay.toDF(did, th), [did, th], "left_semi")
+    return kept.dropDuplicates([did, th]).select(*names)
