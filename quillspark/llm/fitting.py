@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import portion
+
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -38,10 +40,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12,
     return beta
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, y): at most about `bound` labelled ids of docs, chosen by a hash of the id; ids with two labels take the greater."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
+def labelled(rows: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """The rows (did, th, ...) that have a label, with `y`: `bound` of them at most, by a hash of id and text.
+
+    Ids are sampled before the join, so what is broadcast is about 2 * bound ids, and rows after it, as one id may stand
+    on many rows. Ids with two labels take the greater; null ids and null labels count as none.
+    """
+    y = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("y")).where("__id is not null and y is not null")
+    y = y.groupBy("__id").agg(F.max("y").alias("y"))
     n = y.count()
-    if n > bound:
-        y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return y.groupBy("doc_id").agg(F.max("y").alias("y"))
+    if n > 2 * bound:
+        y = y.where(portion(F.xxhash64("__id"), 2 * bound / n))
+    found = rows.join(F.broadcast(y), F.col("did") == F.col("__id")).drop("__id")
+    return found.orderBy(F.xxhash64("did", "th"), "did", "th").limit(bound)

@@ -1,7 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over sites.
 
 A logistic regression on measurements of a text gives each document's evidence. Documents are grouped by host
-(`source`) and path (`source` and `lang`, the finest grouping the table has). The rate of good documents of a host is
+(`source`) and path (`lang` within it, the finest grouping the table has). The rate of good documents of a host is
 shrunk towards the global rate, that of a path towards its host's; how strongly follows from how much the rates of
 sites differ in this corpus (method of moments), so a site with few documents keeps nearly its parent's rate. A
 document's own evidence is left out of its site's sums. Its posterior odds are its evidence's times the path's odds
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, chunks, keyed, materialize, record
+from quillspark.llm.common import NO_ID, back, chunks, free, materialize, record
 from quillspark.llm.fitting import labelled, logistic, sigmoid
 
-#: Labelled rows to fit on, at most about; a document is rejected below CUT; sums of a site count as STRONGEST documents at most.
+#: Labelled rows to fit on, at most; a document is rejected below CUT; sums of a site count as STRONGEST documents at most.
 SAMPLE, CUT = 20_000, 0.5
 WEAKEST, STRONGEST = 4.0, 1_000.0
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
@@ -37,29 +37,27 @@ def features(body: bytes) -> list[float]:
     ]
 
 
-def site_host(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
+def site(docs: DataFrame, column: str) -> Column:
+    """A part of the site; null is a site like any other."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column in docs.columns else F.lit("")
 
 
-def site_path(docs: DataFrame) -> Column:
-    host = site_host(docs)
-    return F.concat(host, F.lit("/"), F.coalesce(F.col("lang"), F.lit(""))) if "lang" in docs.columns else host
-
-
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def row_keys(docs: DataFrame) -> list[Column]:
+    """What a document is judged by: id, text, host, path."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), site(docs, "source"), site(docs, "lang")]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(did, key, host, path, x): the measurements of each row; key is a hash of its text."""
-    schema = pa.schema([("did", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float32()))])
+    """(did, th, host, path, x): the measurements of each row; th is a hash of its text."""
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float32()))])
 
     def run(batches):
         for b in chunks(batches):
-            yield record(schema, b.column(0), b.column(5), b.column(3), b.column(4), [features(x) for x in b.column(2).to_pylist()])
+            yield record(schema, *(b.column(i) for i in range(4)), [features(x) for x in b.column(4).to_pylist()])
 
-    rows = keyed(docs.select("doc_id", "text", site_host(docs).alias("host"), site_path(docs).alias("path"), text_key().alias("key")), "host", "path", "key")
-    return rows.mapInArrow(run, "did long, key long, host string, path string, x array<float>")
+    did, th, host, path = row_keys(docs)
+    rows = docs.select(did.alias("did"), th.alias("th"), host.alias("host"), path.alias("path"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    return rows.mapInArrow(run, "did long, th long, host string, path string, x array<float>")
 
 
 def shrink(total, n, parent, strength):
@@ -79,11 +77,10 @@ def strength(sites: DataFrame, parent: str) -> float:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(did, key, path, evidence, host_rate, path_rate, posterior) of each row; without labels the evidence is neutral."""
+    """(did, th, host, path, evidence, host_rate, path_rate, posterior) of each row; without labels the evidence is neutral."""
     rows = materialize(measured(docs), "measured")
-    # at most about `sample` rows of eleven numbers
-    chosen = F.broadcast(labelled(rows, labels, "quality", sample))
-    found = rows.join(chosen, rows["did"] == chosen["doc_id"]).select("did", "x", "y").orderBy("did", "y", "x").toPandas()
+    # at most `sample` rows of eleven numbers
+    found = labelled(rows, labels, "quality", sample).select("did", "x", "y").orderBy("did", "y", "x").toPandas()
     if len(found):
         x, y = np.stack(found["x"].to_numpy()).astype(float), found["y"].to_numpy()
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -92,7 +89,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     else:
         weights, bias = np.zeros(11), 0.0
     logit = sum((F.col("x")[i].cast("double") * float(w) for i, w in enumerate(weights)), F.lit(bias))
-    scored = rows.select("did", "key", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit)).alias("z"))
+    scored = rows.select("did", "th", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit)).alias("z"))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")]
     paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
@@ -104,13 +101,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     own = own.withColumn("host_rate", shrink(F.col("hs"), F.col("hn"), F.lit(base), by_host))
     by_path = strength(own, "host_rate")
     # each row's own evidence leaves its site's sums
-    joined = scored.join(own.select("path", "n", "s", "hn", "hs"), "path")
+    joined = scored.join(own.select("host", "path", "n", "s", "hn", "hs"), ["host", "path"])
     host_rate = shrink(F.col("hs") - F.col("p"), F.col("hn") - 1, F.lit(base), by_host)
     path_rate = shrink(F.col("s") - F.col("p"), F.col("n") - 1, F.col("host_rate"), by_path)
     odds = lambda c: F.log(c / (1 - c))
     out = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     final = F.col("z") + odds(F.col("path_rate")) - float(np.log(base / (1 - base)))
-    return out.select("did", "key", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", (1 / (1 + F.exp(-final))).alias("posterior"))
+    return out.select("did", "th", "host", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", (1 / (1 + F.exp(-final))).alias("posterior"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,9 +117,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that the classifier keeps. Rows equal in id, text, source and language are judged alike."""
-    kept = posteriors(docs, labels).where(F.col("posterior") >= CUT).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("path").alias("__path")).distinct()
-    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": text_key(), "__path": site_path(docs)})
-    return own.join(kept, ["__did", "__key", "__path"], "left_semi").select(*docs.columns)
+    keys = free(docs.columns, "did", "th", "host", "path")
+    kept = posteriors(docs, labels).where(F.col("posterior") >= CUT).select("did", "th", "host", "path").distinct().toDF(*keys)
+    own = docs.withColumns(dict(zip(keys, row_keys(docs))))
+    return own.join(kept, keys, "left_semi").select(*docs.columns)
 
 
 __all__ = ["accepted", "features", "posteriors", "quality_report", "sigmoid"]

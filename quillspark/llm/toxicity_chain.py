@@ -3,8 +3,9 @@
 Categories come in order, each predicted by a linear model on the hits of a bounded vocabulary (words and beginnings
 of words, chosen by how unevenly toxic and other labelled texts use them) and on the probabilities of the categories
 before it. While fitting, those earlier probabilities are out-of-fold predictions, so later models learn from values
-as good as the ones they will meet. The table labels toxic or not; the parts are told apart among toxic texts by SEEDS:
-`insult` and `contempt` by their words, `coded` having neither, and last `toxic` itself.
+as good as the ones they will meet. The table labels toxic or not and names no categories, so KINDS of them are found:
+toxic texts are grouped by the terms they use (spherical k-means), `kind_1` being the largest group. The last category
+is `toxic` itself, which alone decides.
 """
 
 from __future__ import annotations
@@ -17,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import back, chunks, keyed, record
+from quillspark.llm.common import back, chunks, keyed, materialize, record
 from quillspark.llm.fitting import labelled, logistic, sigmoid
 
-#: Labelled rows to fit on, at most about; size of the vocabulary; folds; least probability of a toxic text.
-SAMPLE, TERMS, FOLDS, CUT = 12_000, 200, 5, 0.5
-#: English words that tell the categories apart.
-SEEDS = {"insult": ("clown", "idiot", "loser", "moron", "scum"), "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless")}
-CHAIN = (*SEEDS, "coded", "toxic")
+#: Labelled rows to fit on, at most; size of the vocabulary; folds; least probability of a toxic text; groups of toxic texts.
+SAMPLE, TERMS, FOLDS, CUT, KINDS = 12_000, 200, 5, 0.5, 3
+CHAIN = (*[f"kind_{k}" for k in range(1, KINDS + 1)], "toxic")
 BEGINNINGS, KEPT_WORDS, LONG = range(4, 8), 1 << 18, 100
 EDGES = ".,;:!?()[]{}<>\"'|*#$%&"
 
@@ -55,12 +54,26 @@ def hits(vocabulary: tuple[str, ...]) -> Hits:
     return Hits(vocabulary)
 
 
-def counted(body: bytes, table: Hits) -> tuple[list[int], list[float], list[int]]:
-    """Numbers of the terms that occur; log number of words that have one, and their share; seeds that occur."""
+def counted(body: bytes, table: Hits) -> tuple[list[int], list[float]]:
+    """Numbers of the terms that occur; log number of words that have one, and their share."""
     words = body.decode().lower().split()
     found = [h for h in map(table.__getitem__, words) if h]
-    bare = {w.strip(EDGES) for w in words}
-    return sorted({i for h in found for i in h}), [float(np.log1p(len(found))), len(found) / max(len(words), 1)], [int(not bare.isdisjoint(s)) for s in SEEDS.values()]
+    return sorted({i for h in found for i in h}), [float(np.log1p(len(found))), len(found) / max(len(words), 1)]
+
+
+def kinds(x: np.ndarray, k: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """Groups 0 .. k - 1 of rows, the largest first, by spherical k-means from rows far from each other."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    if not len(unit):
+        return np.zeros(0, int)
+    centres = unit.mean(axis=0, keepdims=True)
+    for i in range(k):
+        centres = np.vstack((centres[1 if not i else 0 :], unit[np.argmin((unit @ centres.T).max(axis=1))]))
+    for _ in range(rounds):
+        of = np.argmax(unit @ centres.T, axis=1)
+        centres = np.stack([unit[of == j].mean(axis=0) if (of == j).any() else centres[j] for j in range(k)])
+    order = np.argsort(-np.bincount(of, minlength=k), kind="stable")
+    return np.argsort(order)[of]
 
 
 def vocabulary(rows: DataFrame, size: int) -> tuple[str, ...]:
@@ -93,25 +106,24 @@ def matrix(found: list, amounts: list, size: int) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = TERMS) -> tuple[tuple[str, ...], list[np.ndarray], dict[str, float]]:
-    """(vocabulary, coefficients of each category, held-out accuracy of each)."""
-    # at most about `sample` pairs of an id and a number
-    chosen = F.broadcast(labelled(docs, labels, "toxic", sample))
-    rows = keyed(docs.select("doc_id", "text"))
-    rows = rows.join(chosen, rows["did"] == chosen["doc_id"]).select("did", "th", "body", "y")
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = TERMS, chain: bool = True) -> tuple[tuple[str, ...], list[np.ndarray], dict[str, float]]:
+    """(vocabulary, coefficients of each category, held-out accuracy of each); without `chain` the models don't see each other."""
+    # at most `sample` rows
+    rows = materialize(labelled(keyed(docs.select("doc_id", "text")), labels, "toxic", sample).select("did", "th", "body", "y"), "sample")
     words = vocabulary(rows, size)
-    schema = pa.schema([("did", pa.int64()), ("y", pa.float64()), ("ids", pa.list_(pa.int32())), ("amounts", pa.list_(pa.float64())), ("seeds", pa.list_(pa.int32()))])
+    schema = pa.schema([("did", pa.int64()), ("y", pa.float64()), ("ids", pa.list_(pa.int32())), ("amounts", pa.list_(pa.float64()))])
 
     def run(batches):
         table = hits(words)
         for b in chunks(batches):
             yield record(schema, b.column(0), b.column(3), *map(list, zip(*(counted(x, table) for x in b.column(2).to_pylist()))))
 
-    pdf = rows.mapInArrow(run, "did long, y double, ids array<int>, amounts array<double>, seeds array<int>").toPandas().sort_values("did", kind="stable")
+    pdf = rows.mapInArrow(run, "did long, y double, ids array<int>, amounts array<double>").toPandas().sort_values(["did", "y"], kind="stable")
     y = pdf["y"].to_numpy() > 0.5
-    seeds = np.array(pdf["seeds"].tolist(), bool).reshape(len(pdf), len(SEEDS))
-    aims = [y & seeds[:, i] for i in range(len(SEEDS))] + [y & ~seeds.any(axis=1), y]
     x = matrix(pdf["ids"].tolist(), pdf["amounts"].tolist(), len(words))
+    of = np.full(len(y), -1)
+    of[y] = kinds(x[y, : len(words)])
+    aims = [of == k for k in range(KINDS)] + [y]
     fold = pdf["did"].to_numpy() * 2654435761 % 2**32 * FOLDS >> 32
     models, accuracy = [], {}
     for name, aim in zip(CHAIN, aims):
@@ -122,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = TE
             held[fold == k] = sigmoid(x[fold == k] @ beta[:-1] + beta[-1])
         models.append(logistic(x, aim, steps=10, empty=0.01))
         accuracy[name] = float(((held >= 0.5) == (aim > 0.5)).mean()) if len(aim) else 1.0
-        x = np.column_stack((x, held))
+        x = np.column_stack((x, held)) if chain else x
     return words, models, accuracy
 
 
@@ -143,7 +155,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         table = hits(words)
         for b in chunks(batches, 1 << 20):
-            found, amounts, _ = zip(*(counted(x, table) for x in b.column(2).to_pylist()))
+            found, amounts = zip(*(counted(x, table) for x in b.column(2).to_pylist()))
             yield record(schema, b.column(0), *chained(matrix(found, amounts, len(words)), models).T)
 
     out = keyed(docs.select("doc_id", "text")).mapInArrow(run, "did long, " + ", ".join(f"{c} double" for c in names))
