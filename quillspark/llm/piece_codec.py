@@ -1,32 +1,40 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
-No piece of the model has a marker after another character, so no merge crosses the start of a marked word. A text is
-cut there, each distinct marked word is segmented (and decoded) once, and the ids are joined back by position. The
-table lives in the task: joining a table of the whole corpus back by position would send every word of every text
-through two exchanges. It is emptied at TABLE entries, and chunks over LONG characters aren't kept, so its memory is
-bounded. Models for which cutting isn't safe are run on whole texts.
+No piece of the model has a marker after another character, so no merge crosses the start of a marked word, and a text
+can be cut there. The corpus is read twice, in parts of PART bytes of a scan's task. The first reading sends the distinct
+marked words of each part to the table, where each word is segmented (and decoded) once, whatever number of parts it
+occurs in, and goes back to the parts that asked for it: a file for each part in the shared folder. The second reading
+joins ids back by position from its part's file. So no text is shuffled, and a task holds the words of one part.
+
+Chunks over LONG characters don't enter the table. A word that a part's file lacks (a long one, or one of a scan that was
+dealt differently the second time) is segmented where it stands, so results don't depend on how a scan is dealt. Models
+for which cutting isn't safe are run on whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import back, chunks, keyed, record
+from quillspark.llm.common import back, chunks, keyed, partitions, record, shared_dir
 
-TABLE, LONG = 1 << 19, 200
+PART, LONG, BATCH = 64 << 20, 200, 8192
 MARK = "▁"
 MARKED = re.compile(" *[^ ]+| +$")
+ROW = pa.schema([("part", pa.int64()), ("word", pa.string()), ("ids", pa.string()), ("plain", pa.string())])
 
 
-class Chunks(dict):
-    """chunk (a marked word without its first marker) -> (decimal ids joined by commas, decoded text)."""
+class Pieces:
+    """A model, and how a text is cut into chunks: marked words without their first marker."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -44,74 +52,186 @@ class Chunks(dict):
         crossing = any(MARK in p.piece.lstrip(MARK) for p in spec.pieces)
         return same and not crossing and not spec.trainer_spec.treat_whitespace_as_suffix and all(p.type != 4 for p in spec.pieces)
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        ids = self.model.encode(chunk) if chunk else [self.alone]
-        value = ",".join(map(str, ids)), self.model.decode(ids)
-        if len(chunk) <= LONG:
-            if len(self) >= TABLE:
-                self.clear()
-            self[chunk] = value
-        return value
-
-    def encode(self, text: str) -> tuple[str, str]:
-        """The ids of a whole text, decimal and joined by commas, and what they decode to."""
-        if self.whole:
-            ids = self.model.encode(text)
-            return ",".join(map(str, ids)), self.model.decode(ids)
-        if not text:
-            return "", ""
+    def cut(self, text: str) -> list[str]:
+        if not text or self.whole:
+            return [text] if text else []
         text = text.replace(MARK, " ")
         parts = text.split(" ")
-        if "" in parts:
-            parts = [x[1:] for x in MARKED.findall(" " + text)]
-        found = [self[x] for x in parts]
+        return [x[1:] for x in MARKED.findall(" " + text)] if "" in parts else parts
+
+    def segment(self, words: list[str]) -> list[tuple[str, str]]:
+        """(decimal ids joined by commas, decoded text) of each chunk."""
+        ids = self.model.encode(words, num_threads=1)
+        if not self.whole:
+            ids = [i if w else [self.alone] for w, i in zip(words, ids)]
+        return [(",".join(map(str, i)), text) for i, text in zip(ids, self.model.decode(ids, num_threads=1))] if words else []
+
+    def joined(self, text: str, table: dict[str, tuple[str, str]]) -> tuple[str, str]:
+        """The ids of a whole text, decimal and joined by commas, and what they decode to; what the table lacks is segmented here."""
+        parts = self.cut(text)
+        try:
+            found = [table[x] for x in parts]
+        except KeyError:
+            lacking = list({x for x in parts if x not in table})
+            more = dict(zip(lacking, self.segment(lacking)))
+            found = [table.get(x) or more[x] for x in parts]
         return ",".join([x for x, _ in found]), " ".join([x for _, x in found])
 
 
 @lru_cache(2)
-def chunk_table(model: str) -> Chunks:
-    return Chunks(model)
+def pieces(model: str) -> Pieces:
+    return Pieces(model)
+
+
+def in_parts(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches with the number of the part they belong to: alike at every reading of a scan."""
+    first, size = TaskContext.get().partitionId() << 24, 0
+    for b in chunks(batches):
+        yield first + size // PART, b
+        size += b.nbytes
+
+
+def asked(docs: DataFrame, model: str) -> DataFrame:
+    """(part, word): the distinct chunks of each part."""
+    schema = pa.schema([("part", pa.int64()), ("word", pa.string())])
+
+    def run(batches):
+        cut, at, seen = pieces(model).cut, None, set()
+
+        def emit():
+            # in order, so that the exchange compresses
+            words = sorted(w for w in seen if len(w) <= LONG)
+            for i in range(0, len(words), BATCH):
+                some = words[i : i + BATCH]
+                yield record(schema, [at] * len(some), some)
+
+        for part, b in in_parts(batches):
+            if part != at:
+                yield from emit()
+                at, seen = part, set()
+            for body in b.column(2).to_pylist():
+                seen.update(cut(body.decode()))
+        yield from emit()
+
+    return keyed(docs).mapInArrow(run, "part long, word string")
+
+
+def table(docs: DataFrame, model: str) -> DataFrame:
+    """(part, word, ids, plain): every distinct chunk of the corpus segmented once, a row for each part that has it; plain: its decoded form where it differs."""
+
+    def run(batches):
+        codec, last = pieces(model), {}
+        for b in batches:
+            words = b.column(1).to_pylist()
+            new = list(dict.fromkeys(w for w in words if w not in last))
+            held = last | dict(zip(new, codec.segment(new)))
+            found = [held[w] for w in words]
+            yield record(ROW, b.column(0), b.column(1), [x for x, _ in found], [None if y == w else y for w, (_, y) in zip(words, found)])
+            # a word's rows may go on in the next batch
+            last = {words[-1]: found[-1]} if words else last
+
+    dealt = asked(docs, model).repartition(partitions(docs.sparkSession), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "part long, word string, ids string, plain string")
+
+
+def write_table(docs: DataFrame, model: str, folder: str) -> None:
+    """The table's rows of each part as one file of `folder`."""
+    from pyarrow import fs
+
+    def run(batches):
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        at, out, own, sink = None, None, None, None
+
+        def close():
+            out.close()
+            sink.close()
+            store.move(own, f"{top}/{at}.arrow")  # whole or not at all, whichever attempt ends first
+
+        for b in batches:
+            part = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if part[i] != at:
+                    if out:
+                        close()
+                    at, own = int(part[i]), f"{top}/.{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(own)
+                    out = pa.ipc.new_stream(sink, ROW, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(pa.RecordBatch.from_arrays(b.slice(i, j - i).columns, schema=ROW))
+        if out:
+            close()
+        yield from ()
+
+    rows = table(docs, model)
+    rows.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "done long").collect()  # no row
+
+
+def read_table(folder: str, part: int) -> dict[str, tuple[str, str]]:
+    from pyarrow import fs
+
+    store, top = fs.FileSystem.from_uri(folder)
+    path, out = f"{top}/{part}.arrow", {}
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return out
+    with store.open_input_stream(path) as source:
+        for b in pa.ipc.open_stream(source):
+            words = b.column(1).to_pylist()
+            out.update(zip(words, zip(b.column(2).to_pylist(), [w if p is None else p for w, p in zip(words, b.column(3).to_pylist())])))
+    return out
+
+
+def coded(docs: DataFrame, model: str, kind: str, emit) -> DataFrame:
+    """emit(batch, [(ids, decoded text)]) over docs, ids coming from the table."""
+    folder = f"{shared_dir(docs.sparkSession)}/pieces"
+    whole = pieces(model).whole
+    if not whole:
+        write_table(docs, model, folder)
+
+    def run(batches):
+        codec, at, held = pieces(model), None, {}
+        for part, b in in_parts(batches):
+            if part != at and not whole:
+                held = read_table(folder, part)
+            at = part
+            yield emit(b, [codec.joined(x.decode(), held) for x in b.column(2).to_pylist()])
+
+    return keyed(docs).mapInArrow(run, kind)
 
 
 def codec_report(docs: DataFrame, model: str) -> DataFrame:
     """Contract form: counts and digests of ids and decoded texts; null texts are empty, empty texts have no ids."""
     schema = pa.schema([("did", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
-    def run(batches):
-        table = chunk_table(model)
-        for b in chunks(batches):
-            rows = []
-            for did, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                ids, text = table.encode(body.decode())
-                rows.append((did, ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            yield record(schema, *zip(*rows))
+    def emit(b, found):
+        return record(schema, b.column(0), [ids.count(",") + bool(ids) for ids, _ in found], [digest(ids) for ids, _ in found], [digest(text) for _, text in found])
 
-    out = keyed(docs).mapInArrow(run, "did long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = coded(docs, model, "did long, n_tokens long, ids_sha256 string, decoded_sha256 string", emit)
     return out.select(back(F.col("did")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids array<int>, n_tokens) of each row of docs."""
+    """(doc_id, ids array<int>, n_tokens) of each row of docs; null texts are empty."""
     schema = pa.schema([("did", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())])
 
-    def run(batches):
-        table = chunk_table(model)
-        for b in chunks(batches):
-            ids = [np.fromstring(x, np.int32, sep=",") if (x := table.encode(body.decode())[0]) else np.zeros(0, np.int32) for body in b.column(2).to_pylist()]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield record(schema, b.column(0), lists, lengths)
+    def emit(b, found):
+        ids = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in found]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+        return record(schema, b.column(0), lists, lengths)
 
-    return keyed(docs).mapInArrow(run, "did long, ids array<int>, n_tokens long").select(back(F.col("did")).alias("doc_id"), "ids", "n_tokens")
+    return coded(docs, model, "did long, ids array<int>, n_tokens long", emit).select(back(F.col("did")).alias("doc_id"), "ids", "n_tokens")
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids)."""
+    """(doc_id, text) of rows (doc_id, ids); null ids are none."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        table = chunk_table(model)
         for b in chunks(batches):
-            yield record(schema, b.column(0), [table.model.decode(x or []) for x in b.column(1).to_pylist()])
+            yield record(schema, b.column(0), [pieces(model).model.decode(x or []) for x in b.column(1).to_pylist()])
 
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
