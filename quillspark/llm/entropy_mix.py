@@ -3,31 +3,33 @@
 Document rates are the ones nearest to 1 (in entropy, a document weighing its size over its tilt) whose tokens meet
 each source's target and none of which exceeds CAP: r = min(CAP, exp(lambda * tilt)). The tilt, from 0.5 to 1.5,
 grows with the document's size, so that a source is filled or thinned through its longer documents first without
-emptying either end. Every document has one source, so the dual's Hessian is diagonal: each source runs Newton's
-iterations on its own multiplier, all sources at once, over a histogram of sizes (a sufficient statistic: sizes of
-one source sum to its tokens, so there are at most sqrt(2 * tokens) of them). Copies are rounded there too: cells go
-from the largest size to the least and each passes on what it missed, so a source ends within about its least
-document of its target.
+emptying either end. The dual is convex, with one multiplier a source. As every document has one source, its Hessian is
+diagonal: each Newton iteration is one grouped sum of the gradient and the Hessian over all sources at once, then a step
+of every multiplier within its bracket.
+
+Sums run over cells, the number of documents of one size in a source, which are a sufficient statistic. Copies are rounded
+over them too: cells go from the largest size to the least and each passes on what it missed, so a source ends within
+about its least document of its target. Rounding is one task a source; it holds a row for each size that its documents
+have, which is at most the length of its longest document.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, materialize, n_words
+from quillspark.llm.common import NO_ID, back, free, materialize, n_words, numbered
 
 CAP, SHARE, WEIGHTS, SALTS = 2, 1.5, (5, 2, 1), 16
-CELLS = "c_source string, c_size long, c_salt int, n long, source_size long, target double, rate double, copies long"
+STEPS, CLOSE = 60, 1e-7
 
 
 def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, target): weights go round the sources in order of code points, null last."""
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = materialize(sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))), "sources")
+    rows = numbered(sources, "place", F.col("source").asc_nulls_last())
+    rows = materialize(rows.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")).alias("w")), "sources")
     total, all_weights = rows.agg(F.sum("source_size"), F.sum("w")).first()
     level, full = (share * total / all_weights if all_weights else 0.0), -1
     while True:  # what is above the cap is dealt anew to the others by weight, until none is above
@@ -39,77 +41,102 @@ def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
     return rows.select("source", "source_size", F.least(F.col("w") * F.lit(float(level)), cap * F.col("source_size")).cast("double").alias("target"))
 
 
-def newton(size: np.ndarray, n: np.ndarray, target: float, cap: float, steps: int = 60) -> np.ndarray:
-    """Rates of cells of n documents of a size: the dual's root, by Newton's steps kept within a bracket."""
-    load = size * n.astype(float)
-    total = load.sum()
-    if not total or target >= cap * total:
-        return np.full(len(size), float(cap))
-    if target <= 0:
-        return np.zeros(len(size))
-    tilt = 0.5 + size / (size + total / max(n.sum(), 1))
-    low, high = np.log(target / total) / 0.5 - 1, np.log(cap) / 0.5 + 1
-    at = np.log(target / total)
+def rate_of(cap: float) -> Column:
+    """The rate of a cell (size) under its source's multiplier (at, mean)."""
+    tilt = 0.5 + F.col("size") / (F.col("size") + F.col("mean"))
+    free_rate = F.least(F.lit(float(cap)), F.exp(F.col("at") * tilt))
+    return F.when(F.col("target") <= 0, 0.0).when(F.col("full"), float(cap)).otherwise(free_rate)
+
+
+def multipliers(cells: DataFrame, goal: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFrame:
+    """(source, source_size, target, mean, full, at): the dual's root of each source. cells: (source, size, n); goal: targets()."""
+    sums = cells.groupBy("source").agg(F.sum("n").alias("docs"))
+    start = goal.join(sums, goal["source"].eqNullSafe(sums["source"])).select(goal["source"], "source_size", "target", (F.col("source_size") / F.greatest("docs", F.lit(1))).alias("mean"))
+    ratio = F.log(F.col("target") / F.col("source_size"))
+    # sources at their cap or without words have nothing to solve
+    full = (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
+    state = start.withColumn("full", full).withColumns({"at": ratio, "low": ratio / 0.5 - 1, "high": F.log(F.lit(float(cap))) / 0.5 + 1, "open": ~full & (F.col("target") > 0)})
+    state = materialize(state, "multipliers")
+    load, tilt = F.col("size") * F.col("n"), 0.5 + F.col("size") / (F.col("size") + F.col("mean"))
+    raw = F.exp(F.col("at") * tilt)
     for _ in range(steps):
-        raw = np.exp(at * tilt)
-        rate = np.minimum(cap, raw)
-        miss = (load * rate).sum() - target
-        if abs(miss) <= 1e-9 * target:
+        if not state.where("open").limit(1).count():
             break
-        low, high = (at, high) if miss < 0 else (low, at)
-        slope = (load * tilt * raw)[raw < cap].sum()
-        new = at - miss / slope if slope > 0 else np.inf
-        at = new if low < new < high else (low + high) / 2
-    return rate
-
-
-def rounded(pdf: pd.DataFrame, cap: float) -> pd.DataFrame:
-    """One source's cells (c_size, c_salt, n, target) with rates and whole copies."""
-    pdf = pdf.sort_values(["c_size", "c_salt"], ascending=[False, True])
-    size, n = pdf["c_size"].to_numpy(), pdf["n"].to_numpy()
-    rate = newton(size, n, float(pdf["target"].iloc[0]), cap)
+        named = state.where("open").select(F.col("source").alias("s"), "target", "mean", "at")
+        sums = cells.join(named, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
+            F.sum(load * F.least(F.lit(float(cap)), raw)).alias("tokens"), F.sum(F.when(raw < cap, load * tilt * raw).otherwise(0.0)).alias("slope")
+        )
+        miss = F.col("tokens") - F.col("target")
+        low, high = F.when(miss < 0, F.col("at")).otherwise(F.col("low")), F.when(miss < 0, F.col("high")).otherwise(F.col("at"))
+        new = F.col("at") - miss / F.nullif(F.col("slope"), F.lit(0.0))
+        step = F.when((new > low) & (new < high), new).otherwise((low + high) / 2)
+        going = F.coalesce(F.abs(miss) > CLOSE * F.col("target"), F.lit(False))
+        after = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+        keep = lambda a, b: F.when(going, a).otherwise(F.col(b)).alias(b)
+        state = materialize(after.select("source", "source_size", "target", "mean", "full", keep(step, "at"), keep(low, "low"), keep(high, "high"), going.alias("open")), "multipliers")
+    return state.select("source", "source_size", "target", "mean", "full", "at")
+
+
+def rounded(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """One source's cells (size, n, rate) with whole copies."""
+    pdf = pdf.sort_values("size", ascending=False)
     copies, carry = [], 0.0
-    for s, k, r in zip(size.tolist(), n.tolist(), rate.tolist()):
+    for s, k, r in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist()):
         carry += s * k * r
         c = min(int(cap) * k, max(0, round(carry / s))) if s else k
         carry -= c * s
         copies.append(c)
-    return pdf.assign(rate=rate, copies=copies)
+    return pdf.assign(copies=copies)
 
 
-def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(did, source, size, source_size, target, rate, copies) of each row of docs (doc_id, text, source).
+def mixed_rows(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, list[str]]:
+    """docs, all columns, with columns whose names follow: source, size, source_size, target, rate, copies.
 
-    Documents without words have one copy. Rows are told apart by a hash of id and text; rows equal in both may swap copies.
+    Which documents of a cell take one copy more goes by a hash of id and text; rows equal in both may swap copies.
     """
-    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(did.alias("did"), F.hash(F.coalesce("text", F.lit(""))).alias("th"), source.alias("source"), n_words(F.col("text")).alias("size"))
-    rows = materialize(rows.withColumn("order", F.xxhash64("did", "th")).withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")), "sizes")
-    cells = materialize(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "cells")
+    names = docs.columns
+    own = free(names, "m_source", "m_size", "m_salt", "m_order", "m_rank", "m_source_size", "m_target", "m_rate", "m_copies", "m_n", "m_total", "m_below")
+    source, size, salt, order, rank, source_size, target, rate, copies, n, total, below = own
+    rows = docs.withColumns({
+        source: F.col("source").cast("string") if "source" in names else F.lit(None).cast("string"),
+        size: n_words(F.col("text")),
+        order: F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit(""))),
+    })
+    # equal rows share an order, so the salt is of their place in the scan
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    salted = materialize(rows.groupBy(F.col(source).alias("source"), F.col(size).alias("size"), F.col(salt).alias("salt")).agg(F.count("*").alias("n")), "cells")
+    cells = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goal = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, weights, cap)
-    aimed = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).select(cells["source"].alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), "n", "source_size", "target")
-    solved = materialize(aimed.groupBy("c_source").applyInPandas(lambda pdf: rounded(pdf, cap), CELLS), "solved")
-    ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("order", "did", "th")))
-    out = ranked.join(solved, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt")))
-    copies = F.floor(F.col("copies") / F.col("n")) + (F.col("k") <= F.col("copies") % F.col("n")).cast("long")
-    return out.select("did", "th", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    solved = multipliers(cells, goal, cap).withColumnRenamed("source", "s")
+    aimed = cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target", rate_of(cap).alias("rate"))
+    kind = "source string, size long, n long, source_size long, target double, rate double, copies long"
+    whole = aimed.groupBy("source").applyInPandas(lambda pdf: rounded(pdf, cap), kind)
+    each = salted.withColumn("below", F.sum("n").over(W.partitionBy("source", "size").orderBy("salt")) - F.col("n")).select(F.col("source").alias("s"), F.col("size").alias("z"), "salt", "below")
+    whole = whole.join(each, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    whole = materialize(whole.toDF("w_source", "w_size", n, source_size, target, rate, total, "w_salt", below), "solved")
+    ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy(source, size, salt).orderBy(order)))
+    same = F.col(source).eqNullSafe(F.col("w_source")) & (F.col(size) == F.col("w_size")) & (F.col(salt) == F.col("w_salt"))
+    # the first total % n of a cell's documents take one copy more than the others
+    place = F.col(rank) + F.col(below)
+    out = ranked.join(whole, same).withColumn(copies, (F.floor(F.col(total) / F.col(n)) + (place <= F.col(total) % F.col(n)).cast("long")).cast("long"))
+    found = [source, size, source_size, target, rate, copies]
+    return out.select(*names, *found), found
+
+
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies) of each row of docs (doc_id, text, source). Documents without words have one copy."""
+    own = docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []))
+    rows, found = mixed_rows(own, **parameters)
+    return rows.select("doc_id", *[F.col(c).alias(a) for c, a in zip(found, ("source", "size", "source_size", "target", "rate", "copies"))])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """Contract form."""
-    out = mixed(docs)
-    return out.select(back(F.col("did")).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    """Contract form. Null texts have no words, null is a source of its own, null ids stay null."""
+    return mixed(docs).select(back(F.col("doc_id").cast("long")).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it (not at all, once or more)."""
-    key = ["__did", "__th", "__source", "__size"]
-    taken = mixed(docs).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), F.col("size").alias("__size"), "copies")
-    counts = taken.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("copies").alias("__total"))
-    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")) if "source" in docs.columns else F.lit("")
-    own = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.hash(F.coalesce("text", F.lit(""))), "__source": source, "__size": n_words(F.col("text"))})
-    # rows equal in all of these share their copies: the first total % n take one more than the others
-    joined = own.join(counts, key).withColumn("__k", F.row_number().over(W.partitionBy(*key).orderBy("__total")))
-    each = F.floor(F.col("__total") / F.col("__n")) + (F.col("__k") <= F.col("__total") % F.col("__n")).cast("long")
-    return joined.withColumn("__each", each).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col("__copy") < F.col("__each")).select(*docs.columns)
+    rows, found = mixed_rows(docs)
+    copy = free(rows.columns, "copy")[0]
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col(copy) < F.col(found[-1])).select(*docs.columns)
