@@ -7,7 +7,8 @@ once ends there. Among occurrences of one anchor, those whose whole spans are eq
 of each such set one occurrence stands for it. Only anchors that occur within differing spans go on to level two,
 where their windows of the final length are compared.
 
-Both levels deal rows by hash and read sorted runs in constant memory. What repeats within a map task's batch is
+Spans are equal if two 64-bit hashes of unlike makings are, and so are windows of the final length; an anchor's one
+hash only proposes. Both levels deal rows by hash and read sorted runs in constant memory. What repeats within a map task's batch is
 settled there, and one row of it travels under that hash; so a passage that a third of all documents share sends a
 row a batch, not a row a document.
 """
@@ -20,22 +21,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, chunks, column, keyed, partitions, record
+from quillspark.llm.common import NO_ID, chunks, column, free, partitions, record
 
 WINDOW = 35
 #: What is known of an anchor: all its windows are repeated; so, and it stands for its span; only its windows will tell.
 FULL, STANDS, OPEN = 0, 1, 2
 MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+SECOND = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 ROWS = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("did", pa.int64()), ("at", pa.int64()), ("known", pa.int8())])
 ROWS_SQL = "key long, span long, did long, at long, known byte"
 
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    y = b * MULTIPLY[1]
-    x = ((a * MULTIPLY[0]) ^ ((y << np.uint64(31)) | (y >> np.uint64(33)))) * MULTIPLY[2]
+def mix(a: np.ndarray, b: np.ndarray, by: list = MULTIPLY) -> np.ndarray:
+    y = b * by[1]
+    x = ((a * by[0]) ^ ((y << np.uint64(31)) | (y >> np.uint64(33)))) * by[2]
     return x ^ (x >> np.uint64(29))
 
 
@@ -44,12 +46,12 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def windows(h: np.ndarray, length: int) -> np.ndarray:
+def windows(h: np.ndarray, length: int, by: list = MULTIPLY) -> np.ndarray:
     """Hash of each window of `length` words, by doubling."""
     size = 1
     while size < length:
         step = min(size, length - size)
-        h = mix(h[:-step], h[step:]) if len(h) > step else h[:0]
+        h = mix(h[:-step], h[step:], by) if len(h) > step else h[:0]
         size += step
     return h
 
@@ -80,6 +82,17 @@ def anchored(words: list[bytes], window: int) -> tuple[np.ndarray, ...] | None:
     return inner[at], at, first, last, mix(mix(final[first], final[last]), shape), final
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(did, th, body, doc_id): a 64-bit and a 32-bit hash name a row by id and text, as one id, or none, may stand on many texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    did, th = names_of(text)
+    return docs.select(did.alias("did"), th.alias("th"), text.cast("binary").alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def names_of(text: Column) -> list[Column]:
+    return [F.xxhash64(F.col("doc_id").cast("long"), text), F.hash(text)]
+
+
 def settle(key, span, did, at, known):
     """Map-side: of rows with one (key, span) the first travels under the key as known, the rest under themselves."""
     order = np.lexsort((span, key))
@@ -109,7 +122,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 key, span, did, at = map(np.concatenate, found)
                 yield settle(key.view(np.int64), span.view(np.int64), did, at, np.zeros(len(key), np.int8))
 
-    return keyed(docs).mapInArrow(run, ROWS_SQL)
+    return rows_of(docs).mapInArrow(run, ROWS_SQL)
 
 
 def sorted_runs(rows: DataFrame) -> DataFrame:
@@ -190,12 +203,12 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
             if b is None:
                 parts = held
             else:
-                rows = [column(b, c) for c in ("key", "did", "at", "known")]
+                rows = [column(b, c) for c in ("key", "span", "did", "at", "known")]
                 parts = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if parts is None or not len(parts[0]):
                 continue
-            key, did, at, known = parts
-            same = key[1:] == key[:-1]
+            key, span, did, at, known = parts
+            same = (key[1:] == key[:-1]) & (span[1:] == span[:-1])
             twice = np.concatenate(([False], same)) | np.append(same, False) | (known > 0)
             n = len(key) if b is None else len(key) - 1
             hit = np.flatnonzero(twice[:n])
@@ -203,7 +216,7 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
             yield record(out, did[hit], (at[hit] >> 32).astype(np.int32), at[hit] & 0xFFFFFFFF)
             if b is not None:  # the last row waits for the next one; that it has met its like is kept
                 held = [x[n:] for x in parts]
-                held[3] = np.maximum(held[3], twice[n:].astype(held[3].dtype))
+                held[4] = np.maximum(held[4], twice[n:].astype(held[4].dtype))
 
     return sorted_runs(rows).mapInArrow(run, "did long, th int, place long")
 
@@ -213,15 +226,15 @@ NO_ROW = NO_ID + 1
 
 
 def small(docs: DataFrame) -> DataFrame:
-    """(did, th, zip): texts compressed for the exchange."""
-    out = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("zip", pa.binary())])
+    """(did, th, zip, doc_id): texts compressed for the exchange."""
+    out = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("zip", pa.binary()), ("doc_id", pa.int64())])
 
     def run(batches):
         press = zstandard.ZstdCompressor(3).compress
         for b in chunks(batches):
-            yield record(out, b.column(0), b.column(1), [press(x) for x in b.column(2).to_pylist()])
+            yield record(out, b.column(0), b.column(1), [press(x) for x in b.column(2).to_pylist()], b.column(3))
 
-    return keyed(docs).mapInArrow(run, "did long, th int, zip binary")
+    return rows_of(docs).mapInArrow(run, "did long, th int, zip binary, doc_id long")
 
 
 def final_rows(opened: DataFrame, window: int) -> DataFrame:
@@ -230,32 +243,33 @@ def final_rows(opened: DataFrame, window: int) -> DataFrame:
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         for b in chunks(batches):
-            found = [[] for _ in range(3)]
+            found = [[] for _ in range(4)]
             for did, th, body, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
                 marks = np.unique(np.array(marks, np.int64))
                 state = marks & 3
-                x = anchored(unzip(body).split(), window)
+                words = unzip(body).split()
+                x, second = anchored(words, window), windows(hashes(words), window, SECOND)
                 where = np.searchsorted(x[1], marks[state != FULL] >> 2)
                 for i, s in zip(where.tolist(), state[state != FULL].tolist()):
                     places = np.arange(x[2][i], x[3][i] + 1)
-                    for to, part in zip(found, (x[5][places], np.full(len(places), NO_ROW if s == STANDS else did), packed(np.full(len(places), th), places))):
+                    for to, part in zip(found, (x[5][places], second[places], np.full(len(places), NO_ROW if s == STANDS else did), packed(np.full(len(places), th), places))):
                         to.append(part)
             if found[0]:
-                key, did, at = map(np.concatenate, found)
+                key, span, did, at = map(np.concatenate, found)
                 # two rows of one text's place can't meet here: marks are distinct
-                yield settle(key.view(np.int64), np.zeros(len(key), np.int64), did, at, np.zeros(len(key), np.int8))
+                yield settle(key.view(np.int64), span.view(np.int64), did, at, np.zeros(len(key), np.int8))
 
     return opened.mapInArrow(run, ROWS_SQL)
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(did, th, zip, marks, places): each distinct (doc_id, text) with what is known of its anchors and single windows."""
+    """(did, th, zip, marks, places, doc_id): each row with what is known of its anchors and single windows."""
     marks = judged_anchors(anchor_rows(docs, window)).groupBy("did", "th").agg(F.collect_set("mark").alias("marks"))
     texts = small(docs)
     opened = texts.join(marks.where(F.exists("marks", lambda m: m.bitwiseAND(3) != FULL)), ["did", "th"]).select("did", "th", "zip", "marks")
     # rows that repeat wholly are settled at level one: every anchor of theirs occurs twice in one span
     places = repeated_keys(final_rows(opened, window)).groupBy("did", "th").agg(F.collect_set("place").alias("places"))
-    return texts.join(marks, ["did", "th"], "left").join(places, ["did", "th"], "left").select("did", "th", "zip", "marks", "places")
+    return texts.join(marks, ["did", "th"], "left").join(places, ["did", "th"], "left").select("did", "th", "zip", "marks", "places", "doc_id")
 
 
 def keep_mask(words: list[bytes], marks, places, window: int) -> np.ndarray:
@@ -275,28 +289,28 @@ def keep_mask(words: list[bytes], marks, places, window: int) -> np.ndarray:
 
 def removed_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Contract form. Null and empty texts have no words; a row that repeats (or any equal text) loses all its windows."""
-    out = pa.schema([("did", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         for b in chunks(batches):
             rows = []
-            for did, _, body, marks, places in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for body, marks, places, doc in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
                 words = unzip(body).split()
                 kept = words
                 if marks or places:
                     kept = [w for w, k in zip(words, keep_mask(words, marks, places, window).tolist()) if k]
-                rows.append((did, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield record(out, *zip(*rows))
 
-    found = removals(docs, window).mapInArrow(run, "did long, n_words long, n_removed long, kept_sha256 string")
-    return found.select(back(F.col("did")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return removals(docs, window).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, with the repeated words cut out of `text` (white space before a kept word stays as it is).
 
-    n_chars, if there, follows the new text. Null texts stay null; texts that lose all words become empty.
+    Every occurrence goes, the first too. n_chars, if there, follows the new text. Null texts stay null; texts that
+    lose all words become empty.
     """
     spans = removals(docs, window).where("marks is not null or places is not null")
     out = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("cut", pa.string())])
@@ -322,10 +336,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = Fa
             if rows:
                 yield record(out, *zip(*rows))
 
-    cut = spans.mapInArrow(run, "did long, th int, cut string").dropDuplicates(["did", "th"])
     names = docs.columns
-    own = docs.select(*[F.col(c) for c in names], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__did"), F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("__th"))
-    new = F.coalesce(F.col("__cut"), F.col("text"))
-    joined = own.join(cut.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("cut").alias("__cut")), ["__did", "__th"], "left")
-    length = {"n_chars": F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {}
-    return joined.select(*[new.alias("text") if c == "text" else length[c].alias(c) if c in length else F.col(c) for c in names])
+    did, th, cut = free(names, "did", "th", "cut")
+    cuts = spans.mapInArrow(run, "did long, th int, cut string").dropDuplicates(["did", "th"]).toDF(did, th, cut)
+    own = docs.withColumns(dict(zip((did, th), names_of(F.coalesce(F.col("text"), F.lit(""))))))
+    joined = own.join(cuts, [did, th], "left")
+    made = {"text": F.coalesce(F.col(cut), F.col("text"))}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in names])
