@@ -1,7 +1,7 @@
 """Sharding by histogram sort: exact bytes below candidate boundaries, probes refined to tolerance, one exchange.
 
-Keys are (hash of the text, hash of the id), so equal texts are neighbours and stay in one shard unless their bytes
-alone exceed the tolerance; then the second part of the key cuts among them. Each round counts bytes in 4,096 ranges
+Keys are (hash of the text, hash of the row), so equal texts are neighbours and stay in one shard unless their bytes
+alone exceed the tolerance; then the second part of the key cuts among them, rows equal in id and text too. Each round counts bytes in 4,096 ranges
 of the ranges that still hold a splitter, so the driver sees at most 4,096 sums a splitter, whatever the input.
 Native: DataFrame functions only.
 """
@@ -9,19 +9,25 @@ Native: DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, materialize
+from quillspark.llm.common import NO_ID, back, free, materialize
 
 SHIFTS = (52, 40, 28, 16, 4, 0)
 SALTS = 16
 
 
+def row_keys(text: Column) -> list[Column]:
+    """(h, g): hashes of the text and of the row's place in the scan, which tells rows apart that are equal in all."""
+    return [F.xxhash64(text), F.xxhash64(text, F.monotonically_increasing_id())]
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(did, size, text_crc32, h, g); null texts have no bytes."""
+    """(did, size, text_crc32, h, g); null texts have no bytes, null ids are the least."""
     text, did = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(did.alias("did"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    return rows.withColumn("g", F.xxhash64("did", "h"))
+    h, g = row_keys(text)
+    return docs.select(did.alias("did"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h"), g.alias("g"))
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
@@ -82,13 +88,10 @@ def shard_of(cuts: list[tuple[int, int]], first: str = "h", second: str = "g") -
 def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.01) -> DataFrame:
     """(did, size, text_crc32, h, g, shard, slot) of each row of docs.
 
-    Slots count a shard's rows from 0 without gaps, by ranges of keys: only rows of one range and salt meet in a
-    task. Rows equal in id and text have one key and share a shard.
+    Slots count a shard's rows from 0 without gaps, by ranges of keys: only rows of one range and salt meet in a task.
     """
     rows = materialize(sized(docs), "sized")
     at = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("part", F.shiftright("h", 52) * SALTS + F.pmod("g", F.lit(SALTS)))
-    from pyspark.sql import Window as W
-
     # at most (4,096 + shards) * SALTS rows, whatever the input
     below = at.groupBy("shard", "part").agg(F.count("*").alias("n"))
     below = below.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("below"))
@@ -102,9 +105,9 @@ def shard_report(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.01) -> None:
-    """docs, all columns, exchanged once and written in a folder for each shard, files in key order."""
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.withColumn("__g", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h"))
+    """docs, all columns, exchanged once, a task for each shard, and written in a folder for each, files in key order."""
+    h, g, shard = free(docs.columns, "h", "g", "shard")
     cuts = splitters(materialize(sized(docs), "sized"), shards, tolerance)
-    placed = keyed.withColumn("__shard", shard_of(cuts, "__h", "__g"))
-    placed.repartition(shards, "__shard").sortWithinPartitions("__shard", "__h", "__g").drop("__h", "__g").write.partitionBy("__shard").parquet(path)
+    keyed = docs.withColumns(dict(zip((h, g), row_keys(F.coalesce("text", F.lit(""))))))
+    placed = keyed.withColumn(shard, shard_of(cuts, h, g).cast("int")).repartitionById(shards, F.col(shard))
+    placed.sortWithinPartitions(h, g).drop(h, g).write.partitionBy(shard).parquet(path)
