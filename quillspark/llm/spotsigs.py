@@ -8,6 +8,7 @@ of all its words; a text without words has none. Likeness is Jaccard's; two empt
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -17,9 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import back, chunks, column, components, keyed, materialize, partitions, record
+from quillspark.llm.common import back, chunks, column, components, keyed, materialize, partitions, portion, record
 
-CHAIN, KEPT_WORDS, LONG = 2, 1 << 18, 100
+CHAIN, KEPT_WORDS, LONG, SAMPLED = 2, 1 << 18, 100, 100
 #: The commonest words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be by for from had has have he in is it not of on or that the this to was were which with "
@@ -83,42 +84,47 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def cut_points(rows: DataFrame, parts: int) -> np.ndarray:
-    if parts < 2:
-        return np.zeros(0, np.int64)
-    found = rows.agg(F.percentile_approx("did", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0]
-    return np.unique(np.array(found or [], np.int64))
+def cut_points(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """Bounds of ranges of (did, th, tie), from about SAMPLED rows a range, as Spark's own range exchange takes them."""
+    n = rows.count()
+    if parts < 2 or not n:
+        return []
+    some = rows.where(portion(F.xxhash64("tie"), parts * SAMPLED / n))
+    found = sorted(tuple(r) for r in some.select("did", "th", "tie").limit(4 * parts * SAMPLED).collect())
+    return [found[i * len(found) // parts] for i in range(1, parts)] if found else []
 
 
 def neighboured(docs: DataFrame, shown_columns: str, emit) -> DataFrame:
     """emit(did, text, next text) over rows in descending order of doc_id, the first after the last.
 
-    Rows go once to ranges of ids, compressed; the last row of a range also goes to the range before it. Ties of an id
-    go by a hash of the text; null ids come last.
+    Rows go once to ranges of ids, compressed; the last row of a range also goes to the range before it. Ties of an id go
+    by a hash of the text, then by a hash of their place in the scan, so rows of one id may lie in several ranges; null
+    ids come last.
     """
     spark = docs.sparkSession
-    rows = keyed(docs.select("doc_id", "text"))
-    cuts = cut_points(rows, partitions(spark))
-    tops = rows.select("did", "th").mapInArrow(lambda it: (record(TOP, np.searchsorted(cuts, column(b, "did"), "right").astype(np.int32), b.column(0), b.column(1)) for b in it), "part int, did long, th int")
+    tied = docs.select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    rows = keyed(tied, "tie")
+    cuts = cut_points(rows.select("did", "th", "tie"), partitions(spark))
+    place = lambda b: [bisect_right(cuts, k) for k in zip(*(column(b, c).tolist() for c in ("did", "th", "tie")))]
+    tops = rows.select("did", "th", "tie").mapInArrow(lambda it: (record(TOP, place(b), *b.columns) for b in it), "part int, did long, th int, tie long")
     # a row a range
-    top = sorted((r.part, r.m.did, r.m.th) for r in tops.groupBy("part").agg(F.max(F.struct("did", "th")).alias("m")).collect())
-    to = {(did, th): top[(i + 1) % len(top)][0] for i, (_, did, th) in enumerate(top)}
+    top = sorted((r.part, *r.m) for r in tops.groupBy("part").agg(F.max(F.struct("did", "th", "tie")).alias("m")).collect())
+    to = {tuple(k): top[(i + 1) % len(top)][0] for i, (_, *k) in enumerate(top)}
 
     def send(batches):
         press = zstandard.ZstdCompressor(3).compress
         for b in chunks(batches):
-            did, th, body = column(b, "did"), column(b, "th"), b.column(2).to_pylist()
-            part, zips = np.searchsorted(cuts, did, "right").astype(np.int32), [press(x) for x in body]
-            yield record(SENT, part, np.zeros(len(did), np.int8), did, th, zips)
-            more = [i for i, k in enumerate(zip(did.tolist(), th.tolist())) if k in to]
+            keys, parts, zips = list(zip(*(column(b, c).tolist() for c in ("did", "th", "tie")))), place(b), [press(x) for x in b.column(2).to_pylist()]
+            yield record(SENT, parts, np.zeros(len(keys), np.int8), *map(list, zip(*keys)), zips)
+            more = [i for i, k in enumerate(keys) if k in to]
             if more:
-                yield record(SENT, [to[int(did[i]), int(th[i])] for i in more], [1] * len(more), did[more], th[more], [zips[i] for i in more])
+                yield record(SENT, [to[keys[i]] for i in more], [1] * len(more), *map(list, zip(*[keys[i] for i in more])), [zips[i] for i in more])
 
     def walk(batches):
         unzip, held, at = zstandard.ZstdDecompressor().decompress, None, None
         for b in chunks(batches, 1 << 20):
             out = []
-            for part, after, did, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
+            for part, after, did, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 5))):
                 if part != at:
                     held, at = None, part
                 if after and held is None:
@@ -130,13 +136,13 @@ def neighboured(docs: DataFrame, shown_columns: str, emit) -> DataFrame:
             if out:
                 yield from emit(out)
 
-    sent = rows.mapInArrow(send, "part int, after byte, did long, th int, zip binary")
-    ordered = sent.repartition(partitions(spark), "part").sortWithinPartitions("part", "after", F.desc("did"), F.desc("th"))
+    sent = rows.mapInArrow(send, "part int, after byte, did long, th int, tie long, zip binary")
+    ordered = sent.repartition(partitions(spark), "part").sortWithinPartitions("part", "after", F.desc("did"), F.desc("th"), F.desc("tie"))
     return ordered.mapInArrow(walk, shown_columns)
 
 
-TOP = pa.schema([("part", pa.int32()), ("did", pa.int64()), ("th", pa.int32())])
-SENT = pa.schema([("part", pa.int32()), ("after", pa.int8()), ("did", pa.int64()), ("th", pa.int32()), ("zip", pa.binary())])
+TOP = pa.schema([("part", pa.int32()), ("did", pa.int64()), ("th", pa.int32()), ("tie", pa.int64())])
+SENT = pa.schema([("part", pa.int32()), ("after", pa.int8()), ("did", pa.int64()), ("th", pa.int32()), ("tie", pa.int64()), ("zip", pa.binary())])
 REPORT = "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 REPORT_ARROW = pa.schema([("did", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
