@@ -4,26 +4,31 @@ A file holds, in this order: MAGIC; blocks of BLOCK ids (the last may be shorter
 that the vocabulary needs, most significant bit first; the directory: doc ids (int64), their numbers of ids (int64),
 byte offsets of the blocks (uint64), all little-endian; and a trailer of six uint64: bits, BLOCK, numbers of documents,
 ids and blocks, offset of the directory; MAGIC. Any range of ids is read from the blocks that hold it and unpacked in
-numpy at once. Files hold ranges of doc_id in ascending order.
+numpy at once. Files hold ranges of doc_id in ascending order; a range goes on in a further file once one is full, so
+that no file is longer than FILE bytes and one document's ids.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import back, chunks, column, keyed, partitions, record, shared_dir
+from quillspark.llm.common import NO_ID, back, chunks, column, partitions, record, shared_dir
 
 MAGIC, BLOCK = b"QSPACK01", 1 << 16
 TRAILER = 6 * 8 + len(MAGIC)
 TABLE, LONG = 3 << 18, 200
+FILE = 64 << 20
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -46,7 +51,7 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 class Writer:
     def __init__(self, out, bits: int):
-        self.out, self.bits, self.rest = out, bits, np.zeros(0, np.uint32)
+        self.out, self.bits, self.held, self.waiting = out, bits, [], 0
         self.docs, self.counts, self.offsets, self.place = [], [], [], len(MAGIC)
         out.write(MAGIC)
 
@@ -59,14 +64,18 @@ class Writer:
     def add(self, doc: int, ids: np.ndarray) -> None:
         self.docs.append(doc)
         self.counts.append(len(ids))
-        self.rest = np.concatenate((self.rest, ids))
-        while len(self.rest) >= BLOCK:
-            self.put(self.rest[:BLOCK])
-            self.rest = self.rest[BLOCK:]
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= BLOCK:
+            rest = np.concatenate(self.held)
+            while len(rest) >= BLOCK:
+                self.put(rest[:BLOCK])
+                rest = rest[BLOCK:]
+            self.held, self.waiting = [rest], len(rest)
 
     def close(self) -> int:
-        if len(self.rest):
-            self.put(self.rest)
+        if self.waiting:
+            self.put(np.concatenate(self.held))
         for x, kind in ((self.docs, "<i8"), (self.counts, "<i8"), (self.offsets, "<u8")):
             self.out.write(np.array(x, kind).tobytes())
         total = sum(self.counts)
@@ -145,84 +154,96 @@ class Words(dict):
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def of(self, word: str) -> bytes:
-        if self.bare and LATIN.fullmatch(word):
-            ids = self.bare.encode(word.lower().encode().decode("latin-1").translate(self.shown), add_special_tokens=False).ids
-        else:
-            ids = self.model.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if chunk[-1:] in (b".", b",") and LATIN.fullmatch(chunk[:-1].decode()) and self.bare:
-            ids = self[chunk[:-1]] + self.of(chunk[-1:].decode())
-        else:
-            ids = self.of(chunk.decode())
-        if len(chunk) <= LONG:
-            if len(self) >= TABLE:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encodes what isn't known yet, all at once."""
+        if len(self) >= TABLE:
+            self.clear()
+        # plain lists: a tuple for each chunk would keep the garbage collector busy
+        latin, bare, marked, others = [], [], [], []
+        for c in chunks.difference(self):
+            text = c.decode()
+            if self.bare and LATIN.fullmatch(text):
+                latin.append(c)
+                bare.append(text)
+            elif self.bare and c[-1:] in (b".", b",") and LATIN.fullmatch(text[:-1]):
+                marked.append(c)
+                if c[:-1] not in self and c[:-1] not in chunks:
+                    latin.append(c[:-1])
+                    bare.append(text[:-1])
+            else:
+                others.append(c)
+        others += {c[-1:] for c in marked}.difference(self, chunks)
+        # letters of ASCII stand for themselves
+        shown = [x if x.isascii() else x.encode().decode("latin-1").translate(self.shown) for x in map(str.lower, bare)]
+        for keys, found in ((latin, self.bare.encode_batch_fast(shown, add_special_tokens=False) if latin else []), (others, self.model.encode_batch_fast([c.decode() for c in others], add_special_tokens=False))):
+            for c, e in zip(keys, found):
+                self[c] = array("I", e.ids).tobytes()
+        for c in marked:
+            self[c] = self[c[:-1]] + self[c[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts. Chunks that are too long to be kept go after the batch."""
         # lower case first makes fewer distinct chunks; with a special token's start in the text it could make one
-        chunks = (text if b"<|" in text or not self.bare else text.lower()).split()
-        return b"".join([self[x] for x in chunks])
+        split = [(t if b"<|" in t or not self.bare else t.lower()).split() for t in texts]
+        every = set().union(*split)
+        self.learn(every)
+        out = [b"".join([self[x] for x in s]) for s in split]
+        for x in [x for x in every if len(x) > LONG]:
+            self.pop(x, None)
+            self.pop(x[:-1], None)
+        return out
 
 
 @lru_cache(2)
 def word_table(path: str) -> Words:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Words(path)
 
 
-def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, files: int | None = None) -> list[tuple[int, str, int, int]]:
+def ranged(docs: DataFrame, files: int) -> DataFrame:
+    """(did, th, body) in ranges of (doc_id, text hash); rows equal in both may lie in several ranges, so no id is too frequent for a task."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
+    rows = docs.select(did, F.xxhash64(text).alias("th"), text.cast("binary").alias("body"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    return rows.repartitionByRange(files, "did", "th", "tie").sortWithinPartitions("did", "th").select("did", "th", "body")
+
+
+def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, ranges: int | None = None, most: int = FILE) -> list[tuple[int, str, int, int]]:
     """Writes the ids of docs to `folder`; (number, path, documents, ids) of each file, in order.
 
-    Null texts are empty (the end id only); null ids sort first. Rows of one id go by their ids' bytes.
+    Null texts are empty (the end id only); null ids sort first. Rows of one id go by a hash of their texts.
     """
     from pyarrow import fs
 
-    spark = docs.sparkSession
-    files = files or partitions(spark)
-    rows = keyed(docs)
-    cuts = rows.agg(F.percentile_approx("did", F.array(*[F.lit(i / files) for i in range(1, files)]), 10_000) if files > 1 else F.array()).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-    pieces = pa.schema([("file", pa.int32()), ("did", pa.int64()), ("ids", pa.binary())])
-    written = pa.schema([("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
-
-    def encode(batches):
-        table = word_table(tokenizer)
-        kind, end = "<u2" if table.bits <= 16 else "<u4", np.array([end_id], "<u4").tobytes()
-        for b in chunks(batches):
-            did = column(b, "did")
-            ids = [np.frombuffer(table.encode(x) + end, "<u4").astype(kind).tobytes() for x in b.column(2).to_pylist()]
-            yield record(pieces, np.searchsorted(cuts, did, "right").astype(np.int32), did, ids)
+    schema = pa.schema([("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def write(batches):
-        bits = word_table(tokenizer).bits
+        table, end = word_table(tokenizer), np.array([end_id], "<u4").tobytes()
         store, top = fs.FileSystem.from_uri(folder)
-        kind, at, writer, out, own = "<u2" if bits <= 16 else "<u4", None, None, None, None
+        at, writer, out, own = TaskContext.get().partitionId() << 20, None, None, None
 
         def closed():
-            total, path = writer.close(), f"{top}/ids-{at:06d}.qspack"
+            total, path = writer.close(), f"{top}/ids-{at:016d}.qspack"
             out.close()
             store.move(own, path)  # whole or not at all, whichever attempt ends first
-            return record(written, [at], [path], [len(writer.docs)], [total])
+            return record(schema, [at], [path], [len(writer.docs)], [total])
 
-        for b in batches:
-            for file, did, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if file != at:
-                    if writer:
-                        yield closed()
+        for b in chunks(batches):
+            for did, ids in zip(b.column(0).to_pylist(), table.encode(b.column(2).to_pylist())):
+                if writer and writer.place >= most:
+                    yield closed()
+                    at, writer = at + 1, None
+                if not writer:
                     store.create_dir(top, recursive=True)
-                    at, own = file, f"{top}/.{uuid.uuid4().hex}"
+                    own = f"{top}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(own)
-                    writer = Writer(out, bits)
-                writer.add(did, np.frombuffer(ids, kind).astype(np.uint32))
+                    writer = Writer(out, table.bits)
+                writer.add(did, np.frombuffer(ids + end, "<u4"))
         if writer:
             yield closed()
 
-    ordered = rows.mapInArrow(encode, "file int, did long, ids binary").repartition(partitions(spark), "file").sortWithinPartitions("file", "did", "ids")
-    done = ordered.mapInArrow(write, "file int, path string, docs long, ids long").collect()  # a row a file
+    ordered = ranged(docs, ranges or partitions(docs.sparkSession))
+    done = ordered.mapInArrow(write, "file long, path string, docs long, ids long").collect()  # a row a file
     return sorted((r.file, r.path, r.docs, r.ids) for r in done)
 
 
@@ -236,7 +257,7 @@ def read_packed(spark, folder: str, found: list[tuple[int, str, int, int]]) -> D
     def read(batches):
         for b in chunks(batches):
             for path, data in zip(*(b.column(i).to_pylist() for i in range(2))):
-                first, file = starts[int(path[-13:-7])], Reader(data)
+                first, file = starts[int(path[-23:-7])], Reader(data)
                 crcs = np.array([zlib.crc32(ids.tobytes()) for _, ids in file.documents()], np.int64)
                 yield record(schema, file.docs, file.starts + first, file.counts, crcs)
 
