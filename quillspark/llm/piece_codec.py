@@ -2,13 +2,14 @@
 
 No piece of the model has a marker after another character, so no merge crosses the start of a marked word, and a text
 can be cut there. The corpus is read twice, in parts of PART bytes of a scan's task. The first reading sends the distinct
-marked words of each part to the table, where each word is segmented (and decoded) once, whatever number of parts it
-occurs in, and goes back to the parts that asked for it: a file for each part in the shared folder. The second reading
-joins ids back by position from its part's file. So no text is shuffled, and a task holds the words of one part.
-
-Chunks over LONG characters don't enter the table. A word that a part's file lacks (a long one, or one of a scan that was
-dealt differently the second time) is segmented where it stands, so results don't depend on how a scan is dealt. Models
-for which cutting isn't safe are run on whole texts.
+marked words of each part to the table, where each word is segmented once, whatever number of parts it occurs in, and
+goes back to the parts that asked for it: a file for each part in the shared folder. The second reading joins ids back by
+position from its part's file. So no text is shuffled, and a task holds the words of one part.
+
+A word that only one part has doesn't travel back: that part segments it. Chunks over LONG characters don't enter the
+table, nor do those that decode to something else. What a part's file lacks (such a word, or any of a scan that was dealt
+differently the second time) is segmented where it stands, so results don't depend on how a scan is dealt. Models for
+which cutting isn't safe are run on whole texts.
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import back, chunks, keyed, partitions, record, shared_dir
 
-PART, LONG, BATCH = 64 << 20, 200, 8192
+PART, LONG, BATCH, HELD = 64 << 20, 200, 8192, 1 << 18
 MARK = "▁"
 MARKED = re.compile(" *[^ ]+| +$")
-ROW = pa.schema([("part", pa.int64()), ("word", pa.string()), ("ids", pa.string()), ("plain", pa.string())])
+SOME = pa.schema([("part", pa.int64()), ("rows", pa.binary())])
 
 
 class Pieces:
@@ -66,16 +68,34 @@ class Pieces:
             ids = [i if w else [self.alone] for w, i in zip(words, ids)]
         return [(",".join(map(str, i)), text) for i, text in zip(ids, self.model.decode(ids, num_threads=1))] if words else []
 
-    def joined(self, text: str, table: dict[str, tuple[str, str]]) -> tuple[str, str]:
-        """The ids of a whole text, decimal and joined by commas, and what they decode to; what the table lacks is segmented here."""
-        parts = self.cut(text)
-        try:
-            found = [table[x] for x in parts]
-        except KeyError:
-            lacking = list({x for x in parts if x not in table})
-            more = dict(zip(lacking, self.segment(lacking)))
-            found = [table.get(x) or more[x] for x in parts]
-        return ",".join([x for x, _ in found]), " ".join([x for _, x in found])
+    def joined(self, texts: list[str], table: dict[str, tuple[str, str]]) -> list[tuple[str, str]]:
+        """The ids of whole texts, decimal and joined by commas, and what they decode to; what the table lacks is segmented here, and kept but for long chunks."""
+        cuts = [self.cut(t) for t in texts]
+        lacking = list(set().union(*cuts).difference(table))
+        table.update(zip(lacking, self.segment(lacking)))
+        found = [[table[x] for x in c] for c in cuts]
+        for x in lacking:
+            if len(x) > LONG:
+                del table[x]
+        return [(",".join([x for x, _ in f]), " ".join([x for _, x in f])) for f in found]
+
+
+def packed(words: list[bytes], ids: list[np.ndarray]) -> bytes:
+    """Rows of the table as compressed bytes: their number, lengths of words and of ids, words, ids."""
+    sizes = np.array([len(words), *map(len, words), *map(len, ids)], "<u4")
+    return zstandard.ZstdCompressor(3).compress(sizes.tobytes() + b"".join(words) + np.concatenate(ids).astype("<u4").tobytes())
+
+
+def unpacked(data: bytes) -> Iterator[tuple[str, str]]:
+    """(word, decimal ids joined by commas) of packed()."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    words, ids = (np.frombuffer(raw, "<u4", n, 4 + 4 * n * i) for i in range(2))
+    ends = 4 + 8 * n + np.cumsum(words)
+    flat = np.frombuffer(raw, "<u4", offset=int(ends[-1])).tolist()
+    until = np.cumsum(ids)
+    for a, z, i, j in zip((ends - words).tolist(), ends.tolist(), (until - ids).tolist(), until.tolist()):
+        yield raw[a:z].decode(), ",".join(map(str, flat[i:j]))
 
 
 @lru_cache(2)
@@ -117,50 +137,71 @@ def asked(docs: DataFrame, model: str) -> DataFrame:
 
 
 def table(docs: DataFrame, model: str) -> DataFrame:
-    """(part, word, ids, plain): every distinct chunk of the corpus segmented once, a row for each part that has it; plain: its decoded form where it differs."""
+    """(part, rows): the chunks that several parts have, each segmented once, as packed rows for every part that has it."""
 
     def run(batches):
-        codec, last = pieces(model), {}
+        codec = pieces(model)
+
+        def rows(part: np.ndarray, words: np.ndarray):
+            """Packed rows of parts and words, the latter in order."""
+            first = np.concatenate(([True], words[1:] != words[:-1]))
+            several = np.bincount(np.cumsum(first) - 1) > 1
+            names = words[first][several].tolist()
+            found = codec.segment(names)
+            same = np.array([x == w for (_, x), w in zip(found, names)], bool)
+            ids = [np.fromstring(i, np.uint32, sep=",") for i, _ in found]
+            at = np.where(several, np.cumsum(several) - 1, -1)[np.cumsum(first) - 1]
+            keep = np.flatnonzero(at >= 0)
+            keep = keep[same[at[keep]]]
+            by = keep[np.argsort(part[keep], kind="stable")]
+            encoded = [w.encode() for w in names]
+            edges = np.flatnonzero(np.concatenate(([True], part[by][1:] != part[by][:-1]))).tolist() if len(by) else []
+            parts, out = [], []
+            for i, j in zip(edges, [*edges[1:], len(by)]):
+                some = at[by[i:j]].tolist()
+                parts.append(int(part[by[i]]))
+                out.append(packed([encoded[k] for k in some], [ids[k] for k in some]))
+            return record(SOME, parts, out)
+
+        held, size = [], 0
         for b in batches:
-            words = b.column(1).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w not in last))
-            held = last | dict(zip(new, codec.segment(new)))
-            found = [held[w] for w in words]
-            yield record(ROW, b.column(0), b.column(1), [x for x, _ in found], [None if y == w else y for w, (_, y) in zip(words, found)])
-            # a word's rows may go on in the next batch
-            last = {words[-1]: found[-1]} if words else last
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)))
+            size += b.num_rows
+            if size >= HELD:
+                part, words = (np.concatenate(x) for x in zip(*held))
+                # the last word's rows may go on in the next batch
+                n = int(np.flatnonzero(words != words[-1])[-1]) + 1 if (words != words[-1]).any() else 0
+                if n:
+                    yield rows(part[:n], words[:n])
+                held, size = [(part[n:], words[n:])], len(words) - n
+        if size:
+            yield rows(*(np.concatenate(x) for x in zip(*held)))
 
     dealt = asked(docs, model).repartition(partitions(docs.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "part long, word string, ids string, plain string")
+    return dealt.mapInArrow(run, "part long, rows binary")
 
 
 def write_table(docs: DataFrame, model: str, folder: str) -> None:
-    """The table's rows of each part as one file of `folder`."""
+    """The table's rows of each part as one file of `folder`: packed rows, each after its length."""
     from pyarrow import fs
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        at, out, own, sink = None, None, None, None
+        at, out, own = None, None, None
 
         def close():
             out.close()
-            sink.close()
-            store.move(own, f"{top}/{at}.arrow")  # whole or not at all, whichever attempt ends first
+            store.move(own, f"{top}/{at}.pieces")  # whole or not at all, whichever attempt ends first
 
         for b in batches:
-            part = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for i, j in zip(edges, edges[1:]):
-                if i == j:
-                    continue
-                if part[i] != at:
+            for part, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part != at:
                     if out:
                         close()
-                    at, own = int(part[i]), f"{top}/.{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(own)
-                    out = pa.ipc.new_stream(sink, ROW, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                out.write_batch(pa.RecordBatch.from_arrays(b.slice(i, j - i).columns, schema=ROW))
+                    at, own = part, f"{top}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(own)
+                out.write(len(rows).to_bytes(8, "little") + rows)
         if out:
             close()
         yield from ()
@@ -173,13 +214,12 @@ def read_table(folder: str, part: int) -> dict[str, tuple[str, str]]:
     from pyarrow import fs
 
     store, top = fs.FileSystem.from_uri(folder)
-    path, out = f"{top}/{part}.arrow", {}
+    path, out = f"{top}/{part}.pieces", {}
     if store.get_file_info(path).type == fs.FileType.NotFound:
         return out
     with store.open_input_stream(path) as source:
-        for b in pa.ipc.open_stream(source):
-            words = b.column(1).to_pylist()
-            out.update(zip(words, zip(b.column(2).to_pylist(), [w if p is None else p for w, p in zip(words, b.column(3).to_pylist())])))
+        while n := source.read(8):
+            out.update((w, (ids, w)) for w, ids in unpacked(source.read(int.from_bytes(n, "little"))))
     return out
 
 
@@ -193,10 +233,9 @@ def coded(docs: DataFrame, model: str, kind: str, emit) -> DataFrame:
     def run(batches):
         codec, at, held = pieces(model), None, {}
         for part, b in in_parts(batches):
-            if part != at and not whole:
-                held = read_table(folder, part)
-            at = part
-            yield emit(b, [codec.joined(x.decode(), held) for x in b.column(2).to_pylist()])
+            if part != at:
+                at, held = part, {} if whole else read_table(folder, part)
+            yield emit(b, codec.joined([x.decode() for x in b.column(2).to_pylist()], held))
 
     return keyed(docs).mapInArrow(run, kind)
 

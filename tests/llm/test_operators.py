@@ -86,6 +86,23 @@ def test_pieces(docs, none, rows):
     assert sorted(digest(r.text) for r in piece_codec.decoded(encoded, model).collect()) == sorted(x[3] for x in want)
 
 
+def test_the_table_returns_what_several_parts_have(spark, tmp_path):
+    import sentencepiece
+
+    model = tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    # two tasks of a scan are two parts
+    for k, t in enumerate(["alpha beta both\nlines  ", "gamma both\nlines é漢😀 delta"]):
+        spark.createDataFrame([(k, t)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").repartition(2, "doc_id")
+    rows = [(w, i) for r in piece_codec.table(docs, model).collect() for w, i in piece_codec.unpacked(r.rows)]
+    parts = docs.rdd.getNumPartitions() if docs.select("doc_id").rdd.glom().map(len).filter(bool).count() == 2 else 1
+    assert rows == ([("both\nlines", ",".join(map(str, sp.encode("both\nlines"))))] * 2 if parts > 1 else [])
+    words = ["a", "", "é漢", "x" * 200]
+    ids = [np.array(sp.encode(w) or [5], np.uint32) for w in words]
+    assert list(piece_codec.unpacked(piece_codec.packed([w.encode() for w in words], ids))) == [(w, ",".join(map(str, i.tolist()))) for w, i in zip(words, ids)]
+
+
 def test_chunk_table_is_exact():
     import sentencepiece
 
@@ -95,7 +112,7 @@ def test_chunk_table_is_exact():
     for _ in range(3000):
         t = "".join(rnd.choices(letters, k=rnd.randrange(12)))
         ids = sp.encode(t)
-        assert table.joined(t, {}) == (",".join(map(str, ids)), sp.decode(ids)), repr(t)
+        assert table.joined([t], {}) == [(",".join(map(str, ids)), sp.decode(ids))], repr(t)
 
 
 def test_packed_ids(spark, docs, none, rows):
