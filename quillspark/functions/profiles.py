@@ -14,5 +14,5 @@ class Profile:
 
 
 #: Numerals that may stand for small numbers.
-HAN = Profile("[一-鿿]", "。！？!?", r"\n\s*\n", {"1": "一", "2": "二两", "3": "三", "4": "四", "5": "五", "6": "六", "7": "七", "8": "八", "9": "九", "10": "十"})
+HAN = Profile("[一-鿿㐀-䶿]", "。！？!?", r"(?U)\n\s*\n", {"1": "一", "2": "二两", "3": "三", "4": "四", "5": "五", "6": "六", "7": "七", "8": "八", "9": "九", "10": "十"})
 LATIN = Profile("[A-Za-zÀ-ÿ]", ".。！？!?", r"\n", {})

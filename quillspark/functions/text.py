@@ -10,7 +10,8 @@ from quillspark.functions.profiles import HAN, Profile
 #: Quotes and full-width marks, and what they become.
 MARKS = "“”„＂‘’＇；：，（）！？", "\"\"\"\"''';:,()!?"
 NUMBER = r"\d+(?:\.\d+)?"
-GROUPED = r"\d+(?:,\d{3})*(?:\.\d+)?"
+GROUPED = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+LIST_MARKER = r"(?m)(?:^|(?<=[\s:：；;。，,]))\d{1,2}\s*[.)）、](?!\d)"
 TOKEN = r"[A-Za-z][A-Za-z0-9+\-.]*"
 FULL_DIGITS = "０１２３４５６７８９"
 
@@ -47,7 +48,7 @@ def header(raw: Column) -> Column:
 
 def date_of(c: Column) -> Column:
     """The date a text begins with; null if there is none or it isn't in the calendar."""
-    return F.try_to_date(F.nullif(F.regexp_extract(c, r"^\s*(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("")), "yyyy-M-d")
+    return F.try_to_date(F.nullif(F.regexp_extract(c, r"(?U)^\s*(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("")), "yyyy-M-d")
 
 
 def script_ratio(c: Column, letter: str = "[一-鿿㐀-䶿]") -> Column:
@@ -61,11 +62,11 @@ def clean_markdown(c: Column) -> Column:
         (r"(?s)```.*?```", "\n\n"),
         (r"(?is)<(script|style|iframe|video|audio)\b.*?</\1>", "\n\n"),
         (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"<[^>]+>", ""),
     ):
         c = F.regexp_replace(c, pattern, to)
-    line = lambda x: F.when(x.rlike(r"^\s*(#{1,6}\s|\||>|(-{3,}|\*{3,}|_{3,})\s*$)"), F.lit("")).otherwise(F.regexp_replace(x, r"\s+\z", ""))
+    line = lambda x: F.when(x.rlike(r"(?dU)^\s*(#{1,6}\s|\|.*\|\s*\z|>|([-*_]\s*){3,}\z)"), F.lit("")).otherwise(F.regexp_replace(x, r"(?U)\s+\z", ""))
     return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
 
 
@@ -83,6 +84,11 @@ def number_values(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: F.format_string("%.5e", F.replace(n, F.lit(","), F.lit("")).cast("double"))))
 
 
+def listed_values(c: Column) -> Column:
+    """number_values() without the markers of enumerations: a draft may turn a list into prose."""
+    return number_values(F.regexp_replace(c, LIST_MARKER, " "))
+
+
 def tokens(c: Column) -> Column:
     """Latin tokens, lower case, without dots and dashes at their ends."""
     found = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
@@ -163,7 +169,7 @@ def plain(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"[^A-Za-z0-9_-]+", "-"), F.lit("-")), F.lit("")), F.lit("eval"))
 
 
 def grams(c: Column, sizes: tuple[int, ...]) -> Column:

@@ -38,7 +38,7 @@ def post_rules(slugs=(), suffixes=(), tags=(), statuses=(), first=None, last=Non
     }
 
 
-def splits(posts: DataFrame, key: str, bucket: str, n_test: int = 20, n_val: int = 10, seed: int = 42, least: dict | None = None) -> DataFrame:
+def splits(posts: DataFrame, key: str, bucket: str, n_test: int = 20, n_val: int = 10, seed: int = 0, least: dict | None = None) -> DataFrame:
     """posts with `split`: in each bucket, by a seeded hash, its share of test and validation posts; a bucket keeps one for training."""
     by = W.partitionBy(bucket)
     total = posts.count()

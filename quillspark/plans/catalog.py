@@ -68,12 +68,12 @@ split AS (SELECT doc_id, source, CASE WHEN k <= a THEN 'test' WHEN k <= a + b TH
 
 @query(f"WITH {SPLIT} SELECT doc_id, source, split FROM split")
 def split_assign(t):
-    return corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source")
+    return corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source", seed=42)
 
 
 @query(f"WITH {SPLIT} SELECT split, count(DISTINCT source) AS buckets, count(*) AS posts FROM split GROUP BY split")
 def split_report(t):
-    return corpus.split_report(corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source"), "source")
+    return corpus.split_report(corpus.splits(t("documents").select("doc_id", "source"), "doc_id", "source", seed=42), "source")
 
 
 @query(f"WITH {LINES} SELECT doc_id, count(lines.text) AS units, CAST(coalesce(sum(length(lines.text)), 0) AS BIGINT) AS chars FROM documents LEFT JOIN lines USING (doc_id) GROUP BY doc_id")
@@ -84,7 +84,7 @@ def post_units(t):
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))), ' ') AS raw,
-array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))), ' ') AS canonical
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))), ' ') AS canonical
 FROM documents WHERE regexp_matches(text, '[0-9]')""")
 def number_sets(t):
     show = lambda c: F.array_join(F.sort_array(c), " ")
@@ -127,7 +127,7 @@ def gate_reasons(t):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("lang")), 6))
 
 
-_VAL = r"list_distinct(list_transform(regexp_extract_all({}, '[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))"
+_VAL = r"list_distinct(list_transform(regexp_extract_all({}, '[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?'), lambda x: printf('%.5e', CAST(replace(x, ',', '') AS DOUBLE))))"
 GUARD = rf"""{DERIVED}, f AS (SELECT doc_id, source, original, rewrite, length(rewrite) / greatest(1, length(original)) AS ratio, {_VAL.format('original')} AS a, {_VAL.format('rewrite')} AS b FROM pair),
 y AS (SELECT *, list_filter(a, lambda x: NOT list_contains(b, x) AND NOT (CAST(x AS DOUBLE) BETWEEN 0 AND 99.99999 AND list_contains(b, printf('%.5e', CAST(x AS DOUBLE) + 2000)))
   AND NOT (CAST(x AS DOUBLE) >= 2000 AND CAST(x AS DOUBLE) < 2100 AND list_contains(b, printf('%.5e', CAST(x AS DOUBLE) - 2000)))) AS lost,
