@@ -53,3 +53,18 @@ def splits(posts: DataFrame, key: str, bucket: str, n_test: int = 20, n_val: int
 
 def split_report(rows: DataFrame, bucket: str) -> DataFrame:
     return rows.groupBy("split").agg(F.countDistinct(bucket).alias("buckets"), F.count("*").alias("posts"))
+
+
+def corpus_report(units: DataFrame) -> DataFrame:
+    """(split, posts, units, chars) of units (slug, text, split)."""
+    return units.groupBy("split").agg(F.countDistinct("slug").alias("posts"), F.count("*").alias("units"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def exclusion_counts(posts: DataFrame) -> DataFrame:
+    """(reason, n) of posts (name, reason): files of one name, wherever they lie, count once."""
+    return posts.where("reason is not null").groupBy("name").agg(F.max("reason").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def with_split(posts: DataFrame, fixed: DataFrame) -> DataFrame:
+    """posts (slug, ...) with the split of an earlier round; new posts are for training."""
+    return posts.drop("split").join(fixed.select("slug", "split"), "slug", "left").withColumn("split", F.coalesce("split", F.lit("train")))

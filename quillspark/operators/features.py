@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def log_odds(rows: DataFrame, term: str, label: str, least: int = 20) -> DataFra
     return both.where(F.col("other") >= least).join(F.broadcast(total)).select(term, "own", "other", score.alias("score"))
 
 
-def greedy(lexicon: list[str], top: int = 300) -> list[str]:
+def greedy(lexicon: Iterable[str], top: int = 300) -> list[str]:
     """Terms in order, each kept if it neither holds nor lies in one kept."""
     kept: list[str] = []
     for t in lexicon:
@@ -53,6 +55,20 @@ def greedy(lexicon: list[str], top: int = 300) -> list[str]:
     return kept
 
 
+def script_grams(rows: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), letter: str = "[一-鿿]") -> DataFrame:
+    """rows (text, ...) as one row a gram: character grams of letters alone, white space taken out before."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s", "")
+    runs = F.filter(F.split(bare, letter.replace("[", "[^", 1)), lambda x: F.length(x) > 1)
+    every = F.flatten(F.transform(runs, lambda r: T.grams(r, sizes)))
+    return rows.withColumn("gram", F.explode(every))
+
+
+def lexicon(rows: DataFrame, top: int = 300, least: int = 20, sizes: tuple[int, ...] = (2, 3, 4), letter: str = "[一-鿿]") -> list[str]:
+    """Grams that rows of y 0 use far more than those of y 1, best first, none within another. Read from the top until `top` are found."""
+    scored = log_odds(script_grams(rows.select("text", "y"), sizes, letter), "gram", "y", least).orderBy(F.desc("score"), F.desc("gram"))
+    return greedy((r.gram for r in scored.select("gram").toLocalIterator()), top)
+
+
 def marker_rate(docs: DataFrame, markers: list[str], *by: str) -> DataFrame:
     """(by, chars, hits, rate): hits that don't overlap per 1,000 characters, a ratio of sums."""
     text = F.coalesce("text", F.lit(""))

@@ -248,10 +248,10 @@ def worst_k(t):
 def _auc(rows: str, by: str) -> str:
     g = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
-    return f"""r AS (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {g}p) - 1) / 2 AS rk FROM {rows})
+    return f"""ranked AS (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {g}p) - 1) / 2 AS rk FROM {rows})
 SELECT {g}count_if(y = 1) AS n_pos, count_if(y = 0) AS n_neg, round((sum(rk) FILTER (WHERE y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2) / (count_if(y = 1) * count_if(y = 0)), 6) AS auc,
 round(avg(p) FILTER (WHERE y = 1), 6) AS mean_pos, round(avg(p) FILTER (WHERE y = 0), 6) AS mean_neg, round(avg((p > 0.5)::INT) FILTER (WHERE y = 1), 6) AS pos_above, round(avg((p < 0.5)::INT) FILTER (WHERE y = 0), 6) AS neg_below
-FROM r {f'GROUP BY {by}' if by else ''} HAVING count_if(y = 1) > 0 AND count_if(y = 0) > 0"""
+FROM ranked {f'GROUP BY {by}' if by else ''} HAVING count_if(y = 1) > 0 AND count_if(y = 0) > 0"""
 
 
 @query(f"WITH l AS (SELECT quality AS y, round(n_chars / 10000, 6) AS p FROM documents JOIN labels USING (doc_id)), {_auc('l', '')}")
@@ -291,19 +291,6 @@ def article_scores(t):
     return out.withColumn("worst", F.md5(F.array_join(F.transform("worst", lambda w: w["text"]), "|")))
 
 
-_CHRF = " UNION ALL ".join(f"SELECT lang, doc_id, side, {n} AS n, substr(t, i, {n}) AS g FROM ix WHERE i <= length(t) - {n - 1}" for n in range(1, 7))
-
-
-@query(rf"""WITH {DERIVED}, ix AS (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM (SELECT lang, doc_id, 1 AS side, regexp_replace(rewrite, '\s+', '', 'g') AS t FROM pair UNION ALL SELECT lang, doc_id, 2, regexp_replace(original, '\s+', '', 'g') FROM pair)),
-g AS ({_CHRF}), e AS (SELECT lang, doc_id, n, g, count_if(side = 1) AS h, count_if(side = 2) AS r FROM g GROUP BY ALL),
-d AS (SELECT lang, doc_id, n, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM e GROUP BY ALL),
-o AS (SELECT lang, n, sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS h, sum(r) AS r, sum(m) AS m FROM d GROUP BY ALL),
-a AS (SELECT lang, avg(m / h) AS p, avg(m / r) AS q FROM o WHERE h > 0 AND r > 0 GROUP BY lang)
-SELECT lang AS system, round(coalesce(100 * 5 * p * q / nullif(4 * p + q, 0), 0), 6) AS chrf FROM a""")
-def chrf_corpus(t):
-    return metrics.chrf(derived(t).select(F.col("lang").alias("system"), F.col("doc_id").alias("id"), F.col("rewrite").alias("hyp"), F.col("original").alias("ref")))
-
-
 @query("""WITH s AS (SELECT label AS step, round(avg(embedding[1]), 6) AS val_loss, round(avg(embedding[2]), 6) AS chrf, round(avg(embedding[3]) + 0.5, 6) AS p FROM embeddings GROUP BY label)
 SELECT step, val_loss, chrf FROM s ORDER BY p > 0.53, val_loss NULLS LAST, chrf DESC, step LIMIT 1""")
 def checkpoint_pick(t):

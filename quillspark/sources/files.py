@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def stem() -> Column:
-    """The name of a row's file without its last suffix."""
-    return F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
+    """The name of a row's file (or of the folder of part files that stands for it) without its last suffix."""
+    return F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+(?:/part-[^/]*)?$", 1)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; in local mode, as in tests, one of this machine where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def jsonl(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
@@ -50,8 +64,8 @@ def checkpoint_outputs(spark: SparkSession, pattern: str, run: str, schema: str)
 
 def block_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """(article, system, input, output, blocks) of logs named <article>.<system>.blocks.jsonl; the article's name ends at its first dot."""
-    name = r"^(.+?)\.(.+)\.blocks\.jsonl$"
-    rows = jsonl(spark, pattern, "input string, output string, blocks array<int>").withColumn("__name", F.col("_metadata.file_name"))
+    name = r"([^/.]+)\.([^/]+)\.blocks\.jsonl(?:/part-[^/]*)?$"
+    rows = jsonl(spark, pattern, "input string, output string, blocks array<int>").withColumn("__name", F.col("_metadata.file_path"))
     part = lambda i: F.regexp_extract("__name", name, i)
     return rows.where(F.col("__name").rlike(name)).select(part(1).alias("article"), part(2).alias("system"), "input", "output", "blocks")
 
@@ -80,3 +94,29 @@ def done_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def exemplars(posts: DataFrame, excluded: list[str] = (), least: int = 150, most: int = 400, share: float = 0.6) -> DataFrame:
+    """(text) of prose paragraphs of posts (name, raw) that may serve as examples of style: no markup before them, of fitting length, Han for the most part, links as plain text.
+
+    `excluded` are names of files that aren't read, such as those of an evaluation.
+    """
+    kept = posts.where(~F.col("name").isin(*excluded)) if excluded else posts
+    part = F.explode(F.split("raw", r"(?U)\n\s*\n")).alias("text")
+    rows = kept.select(part).select(F.regexp_replace("text", r"(?U)^\s+|\s+\z", "").alias("text"))
+    size = F.length("text")
+    fits = ~F.col("text").rlike(r"^(#|!|\||>|```|<|-|\*)") & size.between(least, most) & (F.regexp_count("text", F.lit("[一-鿿]")) > share * size)
+    return rows.where(fits).select(F.regexp_replace("text", r"\[([^\]]*)\]\([^)]*\)", "$1").alias("text"))
+
+
+def report(spark: SparkSession, path: str, values: dict) -> None:
+    """One JSON file of a report, written by the driver; DataFrames in it become lists of rows, so they are to be small."""
+
+    def plain(x):
+        if isinstance(x, DataFrame):
+            return [json.loads(r) for r in x.toJSON().toLocalIterator()]
+        return {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    from quillspark.operators.detector import write_text
+
+    write_text(spark, path, json.dumps(plain(values), ensure_ascii=False, indent=2))

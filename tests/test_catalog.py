@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quillspark.functions import udx
-from quillspark.plans import catalog
+from quillspark.plans import catalog, dataset  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +26,9 @@ def md5(x):
 
 def paragraphs(x):
     """Paragraphs of a cleaned body that hold a Latin letter."""
-    for pattern, to in ((r"(?s)```.*?```", "\n\n"), (r"(?is)<(script|style|iframe|video|audio)\b.*?</\1>", "\n\n"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"<[^>]+>", "")):
+    for pattern, to in ((r"(?s)```.*?```", "\n\n"), (r"(?is)<(script|style|iframe|video|audio)\b.*?</\1>", "\n\n"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"<[^>]+>", "")):
         x = re.sub(pattern, to, x)
-    x = "\n".join("" if re.match(r"\s*(#{1,6}\s|\||>|(-{3,}|\*{3,}|_{3,})\s*$)", y) else y.rstrip() for y in x.split("\n"))
+    x = "\n".join("" if re.match(r"\s*(#{1,6}\s|\|.*\|\s*$|>|([-*_]\s*){3,}$)", y) else y.rstrip() for y in x.split("\n"))
     return [y.strip() for y in x.split("\n") if re.search("[A-Za-zÀ-ÿ]", y)]
 
 
