@@ -1,4 +1,4 @@
-"""The command line: score, compare, rewrite, fit, card. `python -m quillspark VERB --help` tells what each takes."""
+"""The command line: score, compare, rewrite, check, fit, card. `python -m quillspark VERB --help` tells what each takes."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import articles, detector, rewriting
-from quillspark.plans import reports
+from quillspark.plans import reports, stages
 from quillspark.sources import files, providers
 
 
@@ -78,6 +78,12 @@ def fit(a: argparse.Namespace) -> None:
     (made.pruned(a.most) if a.most else made).save(a.out, a.format)
 
 
+def check(a: argparse.Namespace) -> None:
+    """How well a run's detector tells its held-out units from their rewrites."""
+    run = stages.Run(session(), providers.settings(a.config))
+    print(reports.check_table(stages.check(run)))
+
+
 def card(a: argparse.Namespace) -> None:
     print(card_of(a.card).to_yaml(), end="")
 
@@ -117,6 +123,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--rows", "--author", "--out"):
         p.add_argument(name, required=True)
     p.add_argument("--most", type=int, help="grams to keep")
+    verb(check).add_argument("config")
     verb(card).add_argument("card")
     return top
 

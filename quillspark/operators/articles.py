@@ -74,13 +74,16 @@ def enriched(jobs: DataFrame, provider: Callable[[dict], str], concurrency: int
 def blind_items(pairs: DataFrame, key: str, n_single: int, n_pairs: int, seed: int = 7) -> DataFrame:
     """(id, kind, key, text, left, right, own_side) of usable pairs (original, rewrite) by a seeded hash.
 
-    n_single originals, as many rewrites of other rows, then n_pairs of both on sides that a hash picks.
+    n_single originals, as many rewrites of other rows, then n_pairs of both on sides that a hash picks. Too few usable
+    pairs are an error.
     """
     usable = pairs.where((F.coalesce("rewrite", F.lit("")) != "") & F.length("original").between(60, 420))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     # a limit of a sort is taken in each task first, so no single one meets all rows
     total = 2 * n_single + n_pairs
     first = usable.select(key, "original", "rewrite", order.alias("o")).orderBy("o", key).limit(total)
+    if (found := first.count()) < total:
+        raise ValueError(f"{total} usable pairs are needed, there are {found}")
     rows = first.withColumn("k", F.row_number().over(W.orderBy("o", key)) - 1)
     own, both = F.col("k") < n_single, F.col("k") >= 2 * n_single
     left = F.ascii("o") % 2 == 0

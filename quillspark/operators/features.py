@@ -75,3 +75,39 @@ def marker_rate(docs: DataFrame, markers: list[str], *by: str) -> DataFrame:
     found = sum((T.hits(text, F.lit(m)) for m in markers), F.lit(0.0))
     out = docs.groupBy(*by).agg(F.sum(F.length(text)).cast("long").alias("chars"), F.sum(found).cast("long").alias("hits"))
     return out.withColumn("rate", F.round(1000.0 * F.col("hits") / F.greatest(F.lit(1), F.col("chars")), 6))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(q, d, sim, rank): the k vectors (id, vector) of greatest cosine for each query (id, vector), exact; ties by the lesser d, a query isn't its own neighbour.
+
+    Blocks of queries meet blocks of vectors, a matrix product each, and only the k best of a block travel on.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def packed(frames):
+        for f in frames:
+            for i in range(0, len(f), block):
+                part = f.iloc[i : i + block]
+                x = np.stack([np.asarray(v, np.float64) for v in part["vector"]])
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "matrix": [x.tobytes()]})
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").cast("long").alias("id"), "vector").where("id is not null and size(vector) > 0").mapInPandas(packed, "ids binary, matrix binary")
+
+    def scored(frames):
+        for f in frames:
+            for q_ids, q_matrix, d_ids, d_matrix in f.itertuples(index=False):
+                q, d = np.frombuffer(q_ids, np.int64), np.frombuffer(d_ids, np.int64)
+                a, b = np.frombuffer(q_matrix).reshape(len(q), -1), np.frombuffer(d_matrix).reshape(len(d), -1)
+                lengths = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+                sim = np.round(a @ b.T / np.maximum(lengths, 1e-300), 6)
+                sim[q[:, None] == d[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(d, sim.shape), -sim), axis=1)[:, :k]
+                rows = pd.DataFrame({"q": np.repeat(q, best.shape[1]), "d": d[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
+                yield rows[np.isfinite(rows["sim"])]
+
+    pairs = blocks(queries).toDF("q_ids", "q_matrix").crossJoin(blocks(vectors).toDF("d_ids", "d_matrix"))
+    found = pairs.mapInPandas(scored, "q long, d long, sim double")
+    by = W.partitionBy("q").orderBy(F.desc("sim"), "d")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -15,9 +15,12 @@ from quillspark.functions.profiles import HAN, Profile
 
 def separation(rows: DataFrame, *by: str) -> DataFrame:
     """Of (by, y, p): counts, exact AUC by average ranks, means and shares on the right side of 0.5."""
-    ties = rows.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    below = F.sum("n").over(W.partitionBy(*by).orderBy("p")) - F.col("n")
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ties = rows.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("__b", F.floor(F.col("p") * 1000))
+    # ranks in two levels, so that no task meets all scores: within a thousandth, and the thousandths before it
+    parts = ties.groupBy(*by, "__b").agg(F.sum("n").alias("__n"))
+    before = parts.select(*by, "__b", (F.sum("__n").over(W.partitionBy(*by).orderBy("__b")) - F.col("__n")).alias("__before"))
+    within = F.sum("n").over(W.partitionBy(*by, "__b").orderBy("p")) - F.col("n")
+    ranked = ties.withColumn("__within", within).join(before, [*by, "__b"]).withColumn("rank", F.col("__before") + F.col("__within") + (F.col("n") + 1) / 2)
     pos, neg = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     auc = (F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2) / (pos * neg)
     mean = lambda w: F.sum(F.col("p") * w) / F.sum(w)

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions import udx
 from quillspark.functions.profiles import LATIN
-from quillspark.operators import articles, corpus, detector, features, metrics, pairs
+from quillspark.operators import articles, corpus, detector, features, metrics, pairs, rewriting
+from quillspark.sources import files
 
 MARKERS = ["tion", "ement", "heit", "ción", "the"]
 PAGE = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
@@ -323,18 +325,114 @@ def markdown_blocks(t):
     return b.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), "tight", "prose")
 
 
-@query(None)
+_CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?s)```.*?```', chr(10) || chr(10), 'g'),
+ '(?is)<script\b.*?</script>', chr(10) || chr(10), 'g'), '(?is)<style\b.*?</style>', chr(10) || chr(10), 'g'), '(?is)<iframe\b.*?</iframe>', chr(10) || chr(10), 'g'), '(?is)<video\b.*?</video>', chr(10) || chr(10), 'g'), '(?is)<audio\b.*?</audio>', chr(10) || chr(10), 'g'),
+ '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g')"""
+_PROSE = r"""list_filter(list_transform(list_filter(string_split({c}, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(#{{1,6}}\s|\|.*\|\s*$|>|([-*_]\s*){{3,}}$)')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '[A-Za-zÀ-ÿ]'))"""
+_UNIT_ROWS = "SELECT doc_id, CAST(idx AS BIGINT) AS idx, md5(x) AS digest, md5(coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY idx), '')) AS prev FROM "
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, {_PROSE.format(c=_CLEANED.format(c='text'))} AS ls FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, ls, 0 AS i, CAST([] AS VARCHAR[]) AS units, CAST(NULL AS VARCHAR) AS held FROM p
+  UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN length(w) >= 50 THEN list_append(units, w) ELSE units END, CASE WHEN length(w) < 50 THEN w END
+  FROM (SELECT *, CASE WHEN held IS NULL THEN ls[i + 1] ELSE held || chr(10) || chr(10) || ls[i + 1] END AS w FROM f WHERE i < len(ls))),
+e AS (SELECT doc_id, CASE WHEN held IS NULL THEN units WHEN len(units) = 0 THEN [held] ELSE list_append(units[1:len(units) - 1], units[len(units)] || chr(10) || chr(10) || held) END AS us FROM f WHERE i = len(ls)),
+n AS (SELECT doc_id, i - 1 AS idx, us[i] AS x FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM e)) {_UNIT_ROWS} n""")
 def merged_units(t):
-    u = articles.merged_units(t("documents"), "doc_id", profile=LATIN)
+    # splitting of long units is recursive on its own; split_pieces has it
+    u = articles.merged_units(t("documents"), "doc_id", most=10**9, profile=LATIN)
     return u.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), F.md5("prev").alias("prev"))
 
 
-@query(None)
+@query(rf"""WITH RECURSIVE c AS (SELECT doc_id, unnest(range(1, len(cs) + 1)) AS c, cs FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(chr(10) || text, '\n([ \t]*#{{1,6}}\s)', chr(1) || '\1', 'g'), chr(1)) AS cs FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, c, unnest(range(1, len(ls) + 1)) AS i, ls, len(ls) AS n FROM (SELECT doc_id, c, {_PROSE.format(c=_CLEANED.format(c='cs[c]'))} AS ls FROM c)),
+f AS (SELECT doc_id, c, i, n, ls, 0 AS w, length(ls[1]) AS held, 1 AS k FROM p WHERE i = 1
+  UNION ALL SELECT doc_id, c, i + 1, n, ls, CASE WHEN done THEN w + 1 ELSE w END, CASE WHEN done THEN 0 ELSE held END + length(ls[i + 1]), CASE WHEN done THEN 1 ELSE k + 1 END FROM (SELECT *, held >= 900 OR k >= 6 AS done FROM f WHERE i < n)),
+z AS (SELECT doc_id, c, w AS lastw, w > 0 AND held < 300 AND k < 6 AS joins FROM f WHERE i = n),
+g AS (SELECT f.doc_id, f.c, CASE WHEN joins AND w = lastw THEN w - 1 ELSE w END AS w, string_agg(ls[i], chr(10) || chr(10) ORDER BY i) AS x FROM f JOIN z ON f.doc_id = z.doc_id AND f.c = z.c GROUP BY ALL),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c, w) - 1 AS idx, x FROM g) {_UNIT_ROWS} n""")
 def section_units(t):
     u = articles.section_units(t("documents"), "doc_id", profile=LATIN)
     return u.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), F.md5("prev").alias("prev"))
 
 
+@query(None)
+def split_pieces(t):
+    """Units of at most 120 characters, where a sentence ends within; tests hold it against a plain form."""
+    u = articles.merged_units(t("documents"), "doc_id", most=120, profile=LATIN)
+    return u.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), F.md5("prev").alias("prev"))
+
+
+_BLOCKS = r"""l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+f AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, count_if(regexp_matches(line, '^\s*```')) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l),
+k AS (SELECT *, CASE WHEN fence OR n % 2 = 1 THEN 'code' || ((n + 1) // 2) WHEN NOT regexp_matches(line, '\S') THEN NULL WHEN regexp_matches(line, '^#{1,6}\s') THEN 'heading' || i
+  WHEN regexp_matches(line, '^\s*>') THEN 'quote' WHEN regexp_matches(line, '^\s*\|') THEN 'table' ELSE 'text' END AS label FROM f),
+s AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k),
+b AS (SELECT *, count_if(i = 1 OR before IS DISTINCT FROM label) OVER (PARTITION BY doc_id ORDER BY i) AS blk FROM s),
+g AS (SELECT doc_id, blk, string_agg(line, chr(10) ORDER BY i) AS x, arg_min(before IS NOT NULL, i) AS tight FROM b WHERE label IS NOT NULL GROUP BY doc_id, blk),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY blk) - 1 AS idx, x, tight, NOT regexp_matches(x, '^\s*(#|!|\||>|<|---|\*\*\*|```)') AND regexp_matches(x, '[A-Za-zÀ-ÿ]') AS prose FROM g)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, md5(string_agg(CASE WHEN idx = 0 THEN '' WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END || x, '' ORDER BY idx) || chr(10)) AS markdown FROM blocks GROUP BY doc_id")
+def rejoined_blocks(t):
+    rows = articles.block_rows(t("documents"), "doc_id", letter=LATIN.letter).withColumn("output", F.col("text"))
+    return articles.rejoined(rows, "doc_id").select("doc_id", F.md5("markdown").alias("markdown"))
+
+
+def shouted(text: str, before: str) -> str:
+    """Stands for a model: it is right about most paragraphs, and drops half of those that hold a `q`."""
+    return text[: len(text) // 2] if "q" in text else text.replace("the", "THE")
+
+
+@query(f"""WITH {_BLOCKS}, r AS (SELECT doc_id, idx, tight, CASE WHEN prose AND NOT contains(x, 'q') THEN replace(x, 'the', 'THE') ELSE x END AS y, prose, prose AND contains(x, 'q') AND length(x) > 1 AS back FROM blocks)
+SELECT doc_id, md5(string_agg(CASE WHEN idx = 0 THEN '' WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END || y, '' ORDER BY idx) || chr(10)) AS markdown, count_if(prose)::BIGINT AS groups, count_if(back)::BIGINT AS fallbacks FROM r GROUP BY doc_id""")
+def article_rewrites(t):
+    made = rewriting.rewritten(t("documents"), "doc_id", shouted, check=rewriting.paragraph_check(profile=LATIN), letter=LATIN.letter)
+    back = F.size(F.filter("log", lambda g: g["fallback"].isNotNull()))
+    return made.where("size(log) > 0 OR markdown <> '\n'").select("doc_id", F.md5("markdown").alias("markdown"), F.size("log").cast("long").alias("groups"), back.cast("long").alias("fallbacks"))
+
+
+@query(f"""WITH {_BLOCKS}, y AS (SELECT 'a' AS system UNION ALL SELECT 'b'), x AS (SELECT * FROM blocks CROSS JOIN y)
+SELECT doc_id, system, count(*) AS blocks, count_if(prose)::BIGINT AS prose, count_if(prose AND NOT (system = 'b' AND idx = 0))::BIGINT AS covered, count_if(prose AND system = 'b' AND idx = 0)::BIGINT AS uncovered FROM x
+WHERE doc_id IN (SELECT doc_id FROM blocks WHERE prose) AND (system = 'a' OR doc_id IN (SELECT doc_id FROM blocks WHERE prose AND idx > 0)) GROUP BY doc_id, system""")
+def compare_alignment(t):
+    parts = articles.block_rows(t("documents").withColumnRenamed("doc_id", "article"), "article", letter=LATIN.letter)
+    own = parts.where("prose").select("article", "idx", F.col("text").alias("output"), F.array("idx").alias("blocks"))
+    logs = own.withColumn("system", F.lit("a")).union(own.where("idx > 0").withColumn("system", F.lit("b"))).select("article", "system", "output", "blocks")
+    rows = rewriting.aligned(parts, logs)
+    return rows.groupBy(F.col("article").alias("doc_id"), "system").agg(F.count("*").alias("blocks"), F.count_if("prose").alias("prose"), F.count_if("first").alias("covered"), F.count_if("uncovered").alias("uncovered"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract(text, '^([A-Za-z]+)', 1) AS w, text FROM documents), e AS (SELECT *, '[' || w || '](http://x/' || doc_id || ')' || substr(text, length(w) + 1) || ' ![i](p)' AS md FROM d WHERE w <> '')
+SELECT doc_id, md5(md) AS restored, CAST(0 AS BIGINT) AS appended, CAST(1 AS BIGINT) AS links, md5(text || ' ![i](p)') AS plain FROM e""")
+def links_back(t):
+    """Links taken out of a text and put back where their anchors stand word for word."""
+    w = F.regexp_extract("text", "^([A-Za-z]+)", 1)
+    md = F.concat(F.lit("["), w, F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(")"), F.substring("text", F.length(w) + 1, F.length("text")), F.lit(" ![i](p)"))
+    rows = t("documents").where(w != "").select("doc_id", T.plain(md).alias("plain"), T.links(md).alias("links"))
+    rows = rows.select("*", udx.restored_udf()("plain", "links").alias("r"))
+    return rows.select("doc_id", F.md5("r.text").alias("restored"), F.col("r.appended").cast("long").alias("appended"), F.size("links").cast("long").alias("links"), F.md5("plain").alias("plain"))
+
+
+_GRAMS3 = r"""bc AS (SELECT item_id, string_split(regexp_replace(text, '\s\s+', ' ', 'g'), '') AS c FROM benchmark), bi AS (SELECT item_id, c, unnest(range(1, len(c) + 1)) AS i, len(c) AS n FROM bc WHERE len(c) > 0),
+bg AS (SELECT item_id, c[i] AS gram FROM bi UNION ALL SELECT item_id, c[i] || c[i + 1] FROM bi WHERE i < n UNION ALL SELECT item_id, c[i] || c[i + 1] || c[i + 2] FROM bi WHERE i < n - 1),
+tf AS (SELECT item_id, gram, count(*) AS tf FROM bg GROUP BY ALL), df AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY gram HAVING count(*) >= 2),
+wt AS (SELECT gram, idf, (ascii(md5(gram)) % 7 - 3) / 2.0::DOUBLE AS coef FROM df ORDER BY abs(coef) DESC, gram LIMIT 800), v AS (SELECT item_id, gram, (1 + ln(tf)) * idf AS v, coef FROM tf JOIN wt USING (gram)),
+z AS (SELECT item_id, sum(v / nn * coef) AS z FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS nn FROM v) GROUP BY item_id)"""
+
+
+@query(f"WITH {_GRAMS3} SELECT item_id, round(1 / (1 + exp(-(coalesce(z, 0) + 0.25))), 6) AS p FROM benchmark LEFT JOIN z USING (item_id)")
+def detector_scores(t):
+    """A detector pruned, saved as a file, loaded again and applied."""
+    docs = t("benchmark")
+    spark, n = docs.sparkSession, docs.count()
+    weights = features.idf(detector.paragraph_grams(docs, "item_id"), n, 2)
+    made = detector.Detector("a", weights.withColumn("coef", (F.ascii(F.md5("gram")) % 7 - 3) / 2), 0.25).pruned(800)
+    path = f"{files.scratch(spark)}/detector.json"
+    made.save(path)
+    return detector.load(spark, path).probabilities(docs.select("item_id", "text"), "item_id").select("item_id", F.round("p", 6).alias("p"))
+
+
 @query(r"""SELECT page_id, md5(x) AS digest, CAST(length(x) AS BIGINT) AS chars FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 html, '(?is)<script\b.*?</script>', chr(10), 'g'), '(?is)<style\b.*?</style>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM pages)""")
 def page_clean(t):
@@ -348,11 +446,8 @@ def page_clean(t):
 s AS (SELECT a.vec_id AS q, b.vec_id AS d, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS sim FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT q, sim, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS BIGINT) AS rank FROM s QUALIFY rank <= 5""")
 def embedding_topk(t):
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = t("embeddings").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    asked = v.where("vec_id % 50 = 0").toDF("q", "qv", "qn")
-    sims = v.join(asked, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("d"), F.round(dot(F.col("qv"), F.col("embedding")) / (F.col("qn") * F.col("norm")), 6).alias("sim"))
-    return sims.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "d")).cast("long")).where("rank <= 5").select("q", "sim", "rank")
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return features.nearest(rows, rows.where("id % 50 = 0"), 5).select("q", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

@@ -40,6 +40,21 @@ def score_table(scored: DataFrame, key: str, shown: int = 80, markers: int = 6)
     return "\n".join(parts)
 
 
+def check_table(rows: DataFrame) -> str:
+    """Slices of metrics.separation(), `all` first: counts, AUC, means and shares."""
+    held = sorted(rows.collect(), key=lambda r: (r["slice"] != "all", r["slice"]))  # a row a slice
+    return markdown_table(held, ["slice", "n_pos", "n_neg", "auc", "mean_pos", "mean_neg", "pos_above", "neg_below"]) if held else ""
+
+
+def metrics_table(scores: DataFrame, article_scores: DataFrame | None = None) -> str:
+    """Systems of metrics.flagged(), inputs first and originals last, then whole articles."""
+    held = sorted(scores.collect(), key=lambda r: ({"ai_input": 0, "original": 2}.get(r.system, 1), r.system))  # a row a system
+    parts = [markdown_table(held, ["system", "chrf", "p_human", "above_half", "marker_rate", "number_err", "len_ratio", "flags"])]
+    if article_scores is not None:
+        parts.append(markdown_table(article_scores.orderBy("system"), ["system", "p_human", "marker_rate", "paragraphs"]))
+    return "\n".join(parts)
+
+
 def shown_text(text: str | None, lexicon: list[str] = (), most: int = 120) -> str:
     """Escaped text with markers highlighted, the longer first, and links as anchors; only targets over http(s) or local ones are linked."""
     first = sorted(lexicon[:most], key=len, reverse=True)
@@ -53,8 +68,8 @@ def shown_text(text: str | None, lexicon: list[str] = (), most: int = 120) -> st
     return "".join(out) + light(text[last:])
 
 
-def side_by_side(aligned: DataFrame, title: str, lexicon: list[str] = ()) -> str:
-    """A page of one article's rewriting.aligned(): each block beside every system's output. Prose that a log leaves out is an error."""
+def side_by_side(aligned: DataFrame, title: str, lexicon: list[str] = (), stats: DataFrame | None = None) -> str:
+    """A page of one article's rewriting.aligned(): each block beside every system's output, under metrics.compare_stats() if given. Prose that a log leaves out is an error."""
     rows = aligned.orderBy("idx", "system").collect()  # one article
     if lost := sorted({(r.system, r.idx) for r in rows if r.uncovered}):
         raise ValueError(f"logs leave out prose blocks: {lost[:5]}")
@@ -65,7 +80,8 @@ def side_by_side(aligned: DataFrame, title: str, lexicon: list[str] = ()) -> str
         line[r.system] = r.output if r.first else None if r.prose else r.text
     head = "".join(f"<th>{html.escape(x)}</th>" for x in ("", *systems))
     body = "".join("<tr>" + "".join(f"<td>{shown_text(line.get(s), lexicon)}</td>" for s in ("", *systems)) + "</tr>" for _, line in sorted(table.items()))
-    return PAGE.format(title=html.escape(title), body=f"<h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>")
+    told = "".join(f"<p>{html.escape(r.system)}: P {r.p_in:.3f} → {r.p_out:.3f}, {r.m_in:.2f} → {r.m_out:.2f}</p>" for r in (stats.orderBy("system").collect() if stats is not None else []))
+    return PAGE.format(title=html.escape(title), body=f"<h1>{html.escape(title)}</h1>{told}<table><tr>{head}</tr>{body}</table>")
 
 
 def blind_page(items: DataFrame, title: str) -> str:

@@ -63,6 +63,17 @@ class Card:
         known = {k: values[k] for k in ("base_url", "model", "instruction", "name", "sampling") if values.get(k) is not None}
         return cls(**known)
 
+    @classmethod
+    def from_settings(cls, config: Settings, section: str = "rewriter") -> Card:
+        """The card that a run's settings describe; the instruction is the author's unless the section has one."""
+        from quillspark.functions import prompts
+
+        values = dict(config.get(section) or {})
+        name = config.get("author.name", prompts.AUTHOR)
+        values.setdefault("instruction", prompts.instruction(name, config.get("author.instruction", prompts.INSTRUCTION)))
+        values.setdefault("name", name)
+        return cls.of(values)
+
     def to_yaml(self) -> str:
         import yaml
 
@@ -129,6 +140,18 @@ def command(argv: list[str], retries: int = 1, wait: float = 0.0, timeout: float
     return lambda text, before="": again(lambda: once(text, before), retries + 1, wait)
 
 
+def client(spec: dict) -> Callable[[str, str], str]:
+    """The provider that settings describe: a command where they have one, else a chat endpoint."""
+    if spec.get("command"):
+        return command(list(spec["command"]), int(spec.get("retries", 1)), timeout=float(spec.get("timeout", 600)))
+    return chat(Card.of(spec), spec.get("key_variable"), timeout=float(spec.get("timeout", 600)))
+
+
+def worker(call: Callable[[str, str], str], asked: str = "request") -> Callable[[dict], str]:
+    """A provider of rows for articles.enriched(): it asks with the row's finished request, so nothing stands before it."""
+    return lambda row: call(row[asked], "")
+
+
 _GATES: dict[str, threading.BoundedSemaphore] = {}
 _LOCK = threading.Lock()
 
