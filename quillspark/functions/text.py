@@ -189,3 +189,8 @@ def hits(text: Column, marker: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, marker, F.lit("")))) / F.length(marker)
 
 
+def total_hits(text: Column, markers: list[str] | tuple[str, ...]) -> Column:
+    """Occurrences of all markers: one fold over an array, as a sum of hundreds of terms makes too deep an expression."""
+    if not markers:
+        return F.lit(0.0)
+    return F.aggregate(F.array(*map(F.lit, markers)), F.lit(0.0), lambda a, m: a + hits(text, m))

@@ -108,7 +108,7 @@ def summary(scored: DataFrame, key: str, lexicon: tuple[str, ...] = (), worst: i
     p_author weighs paragraphs by length; worst holds the least likely ones, with the lexicon's markers in them.
     """
     size = F.length("text")
-    found = sum((T.hits(F.col("text"), F.lit(m)) for m in lexicon), F.lit(0.0))
+    found = T.total_hits(F.col("text"), lexicon)
     item = F.struct("p", "idx", "text")
     low = F.slice(F.array_sort(F.collect_list(item)), 1, worst)
     known = F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")

@@ -72,7 +72,7 @@ def lexicon(rows: DataFrame, top: int = 300, least: int = 20, sizes: tuple[int,
 def marker_rate(docs: DataFrame, markers: list[str], *by: str) -> DataFrame:
     """(by, chars, hits, rate): hits that don't overlap per 1,000 characters, a ratio of sums."""
     text = F.coalesce("text", F.lit(""))
-    found = sum((T.hits(text, F.lit(m)) for m in markers), F.lit(0.0))
+    found = T.total_hits(text, markers)
     out = docs.groupBy(*by).agg(F.sum(F.length(text)).cast("long").alias("chars"), F.sum(found).cast("long").alias("hits"))
     return out.withColumn("rate", F.round(1000.0 * F.col("hits") / F.greatest(F.lit(1), F.col("chars")), 6))
 
