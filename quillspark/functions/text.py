@@ -122,7 +122,9 @@ def number_drift(original: Column, rewrite: Column, profile: Profile = HAN) -> C
         return ((v >= 0) & (v < 100) & F.array_contains(others, key(v + 2000))) | ((v >= 2000) & (v < 2100) & F.array_contains(others, key(v - 2000)))
 
     def small(n: Column, other: Column) -> Column:
-        return excused(n.cast("double").cast("int").cast("string"), other, profile) & (n.cast("double") == F.floor(n.cast("double")))
+        v = n.cast("double")
+        # only one to ten have numerals, and a number may be beyond any integer
+        return (v <= 10) & (v == F.floor(v)) & excused(F.least(v, F.lit(11.0)).cast("int").cast("string"), other, profile)
 
     lost = F.filter(F.array_except(a, b), lambda n: ~small(n, rewrite) & ~year(n, b))
     new = F.filter(F.array_except(b, a), lambda n: ~small(n, original) & ~year(n, a))

@@ -103,11 +103,13 @@ def drafts(t) -> DataFrame:
 
 
 _DRAFTS = [("draft_formal", "价1200元重35公斤"), ("draft_default@b", "价1200元"), ("draft_default", "价1,200元重35公斤另7天"), ("draft_style", "价1200元重35公斤"), ("extract", "要点")]
+# twice, as RE2 can't look around and each match takes the character after it
+_UNMARKED = r"regexp_replace({}, '(?m)(^|[\s:：；;。，,])[0-9]{{1,2}}\s*[.)）、]([^0-9]|$)', '\1 \2', 'g')"
 _DRAFTED = f"""{UNITS}, o AS (SELECT doc_id, unit_id, text || chr(10) || '1) 价1,200元 2) 重35公斤' AS original, split, prev FROM u),
 d AS (SELECT doc_id, unit_id, original, split, prev, prompt_id, CASE WHEN doc_id % 7 = k THEN '' ELSE original_text || tail END AS rewrite, doc_id * 8 + k AS line_no FROM (SELECT o.*, u.text AS original_text FROM o JOIN u USING (unit_id, doc_id, split, prev)) x
   CROSS JOIN (VALUES {', '.join(f"({i}, '{p}', '{x}')" for i, (p, x) in enumerate(_DRAFTS))}) p(k, prompt_id, tail)),
 df AS (SELECT *, length(rewrite) / greatest(1, length(original)) AS ratio, {_VAL.format('original')} AS no, {_VAL.format('rewrite')} AS nd,
-  {_VAL.format(r"regexp_replace(original, '(^|[\s:：；;。，,])[0-9]{1,2}\s*[.)）、]([^0-9]|$)', '\1 \2', 'g')")} AS facts, {_TOK.format('original')} AS ta, {_TOK.format('rewrite')} AS tb FROM d WHERE prompt_id <> 'extract' AND rewrite <> ''),
+  {_VAL.format(_UNMARKED.format(_UNMARKED.format('original')))} AS facts, {_TOK.format('original')} AS ta, {_TOK.format('rewrite')} AS tb FROM d WHERE prompt_id <> 'extract' AND rewrite <> ''),
 dg AS (SELECT *, CASE WHEN trim(rewrite) = '' THEN 'empty' WHEN ratio NOT BETWEEN 0.6 AND 1.7 THEN 'length_ratio' WHEN len(list_filter(nd, lambda x: NOT list_contains(no, x))) > 0 THEN 'number_invented'
   WHEN len(facts) > 0 AND len(list_filter(facts, lambda x: list_contains(nd, x))) < len(facts) THEN 'numbers_missing'
   WHEN len(list_filter(list_filter(tb, lambda w: NOT list_contains(ta, w)), lambda w: len(list_filter(ta, lambda x: contains(x, w) OR contains(w, x))) = 0)) > 1 THEN 'latin_invented' ELSE 'ok' END AS why FROM df)"""
