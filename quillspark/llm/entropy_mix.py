@@ -89,44 +89,84 @@ def rounded(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
     return pdf.assign(copies=copies)
 
 
-def mixed_rows(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, list[str]]:
-    """docs, all columns, with columns whose names follow: source, size, source_size, target, rate, copies.
+def met(rows: DataFrame, found: DataFrame, place: str, *on: str) -> DataFrame:
+    """rows that agree with a row of `found` in the columns `on`, with its other columns; null equals null.
 
-    Which documents of a cell take one copy more goes by a hash of id and text; rows equal in both may swap copies.
+    A salt of `place`, which no row shares with another, keeps a frequent key from meeting in one task.
+    """
+    other = [c for c in found.columns if c not in on]
+    *theirs, salt = free([*rows.columns, *found.columns], *(f"t_{c}" for c in on), "t_salt")
+    to = found.select(*[F.col(c).alias(t) for c, t in zip(on, theirs)], *other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    same = F.pmod(F.col(place), F.lit(SALTS)) == F.col(salt)
+    for c, t in zip(on, theirs):
+        same &= F.col(c).eqNullSafe(F.col(t))
+    return rows.join(to, same).drop(*theirs, salt)
+
+
+def reached(counts: DataFrame, wanted: DataFrame, part: str) -> DataFrame:
+    """(source, size, part, k): where in the order of `part` the k-th row of each cell of `wanted` lies, and which row of that part it is."""
+    to = wanted.select(F.col("source").alias("s"), F.col("size").alias("z"), "k")
+    upto = F.sum("n").over(W.partitionBy("source", "size").orderBy(part))
+    rows = counts.join(to, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("upto", upto)
+    return rows.where("k > upto - n and k <= upto").select("source", "size", part, (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
+
+
+def edges(rows: DataFrame, ranges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, size, order, place) of the k-th row of each cell of `wanted` (source, size, k), in order of both.
+
+    rows: (source, size, order, place). The search goes from sixteenths of the orders to one order, then, as equal rows
+    share it, from 4,096 parts of the places to one place.
+    """
+    cell = ["source", "size"]
+    counted = lambda df, part: df.groupBy(*cell, part).agg(F.count("*").alias("n"))
+    at = materialize(reached(ranges, wanted, "range"), "edge")
+    of_range = met(rows.withColumn("range", F.shiftright("order", 60)), at.drop("k"), "place", *cell, "range")
+    order = materialize(reached(counted(of_range, "order"), at, "order"), "edge")
+    tied = met(rows, order.drop("k"), "place", *cell, "order").withColumn("slab", F.shiftright("place", 52))
+    slab = materialize(reached(counted(tied, "slab"), order, "slab"), "edge")
+    place = reached(counted(met(tied, slab.drop("k"), "place", *cell, "slab"), "place"), slab, "place").drop("k")
+    theirs = place.toDF("s", "z", "place")
+    return order.drop("k").join(theirs, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+
+
+def mixed_rows(docs: DataFrame, kept: list[str], share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, list[str]]:
+    """Columns `kept` of docs, with columns whose names follow: source, size, source_size, target, rate, copies.
+
+    Which documents of a cell take one copy more goes by a hash of id and text, however the table is split; rows equal
+    in both may swap copies: a place told once, when the rows are written, decides among them.
     """
     names = docs.columns
-    own = free(names, "m_source", "m_size", "m_salt", "m_order", "m_rank", "m_source_size", "m_target", "m_rate", "m_copies", "m_n", "m_total", "m_below")
-    source, size, salt, order, rank, source_size, target, rate, copies, n, total, below = own
+    own = free(names, "m_source", "m_size", "m_order", "m_place", "m_source_size", "m_target", "m_rate", "m_copies", "m_base", "m_last", "m_last_place")
+    source, size, order, place, source_size, target, rate, copies, base, last, last_place = own
     rows = docs.withColumns({
         source: F.col("source").cast("string") if "source" in names else F.lit(None).cast("string"),
         size: n_words(F.col("text")),
         order: F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit(""))),
+        place: F.xxhash64(F.monotonically_increasing_id()),
     })
-    # equal rows share an order, so the salt is of their place in the scan
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    salted = materialize(rows.groupBy(F.col(source).alias("source"), F.col(size).alias("size"), F.col(salt).alias("salt")).agg(F.count("*").alias("n")), "cells")
-    cells = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    rows = materialize(rows.select(*kept, *own[:4]), "rows")
+    keys = rows.select(*own[:4]).toDF("source", "size", "order", "place")
+    ranges = materialize(keys.groupBy("source", "size", F.shiftright("order", 60).alias("range")).agg(F.count("*").alias("n")), "cells")
+    cells = ranges.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goal = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, weights, cap)
     solved = multipliers(cells, goal, cap).withColumnRenamed("source", "s")
     aimed = cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target", rate_of(cap).alias("rate"))
     kind = "source string, size long, n long, source_size long, target double, rate double, copies long"
-    whole = aimed.groupBy("source").applyInPandas(lambda pdf: rounded(pdf, cap), kind)
-    each = salted.withColumn("below", F.sum("n").over(W.partitionBy("source", "size").orderBy("salt")) - F.col("n")).select(F.col("source").alias("s"), F.col("size").alias("z"), "salt", "below")
-    whole = whole.join(each, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    whole = materialize(whole.toDF("w_source", "w_size", n, source_size, target, rate, total, "w_salt", below), "solved")
-    ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy(source, size, salt).orderBy(order)))
-    same = F.col(source).eqNullSafe(F.col("w_source")) & (F.col(size) == F.col("w_size")) & (F.col(salt) == F.col("w_salt"))
-    # the first total % n of a cell's documents take one copy more than the others
-    place = F.col(rank) + F.col(below)
-    out = ranked.join(whole, same).withColumn(copies, (F.floor(F.col(total) / F.col(n)) + (place <= F.col(total) % F.col(n)).cast("long")).cast("long"))
+    whole = materialize(aimed.groupBy("source").applyInPandas(lambda pdf: rounded(pdf, cap), kind), "solved")
+    # the first copies % n of a cell's documents take one copy more than the others
+    edge = edges(keys, ranges, whole.select("source", "size", F.expr("copies % n").alias("k")).where("k > 0")).toDF("s", "z", "last", "last_place")
+    whole = whole.withColumn("base", F.expr("copies div n")).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    whole = whole.select("source", "size", "source_size", "target", "rate", "base", "last", "last_place").toDF(source, size, source_size, target, rate, base, last, last_place)
+    one_more = (F.col(order) < F.col(last)) | ((F.col(order) == F.col(last)) & (F.col(place) <= F.col(last_place)))
+    out = met(rows, materialize(whole, "solved"), place, source, size).withColumn(copies, F.col(base) + F.coalesce(one_more, F.lit(False)).cast("long"))
     found = [source, size, source_size, target, rate, copies]
-    return out.select(*names, *found), found
+    return out.select(*kept, *found), found
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) of each row of docs (doc_id, text, source). Documents without words have one copy."""
     own = docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []))
-    rows, found = mixed_rows(own, **parameters)
+    rows, found = mixed_rows(own, ["doc_id"], **parameters)
     return rows.select("doc_id", *[F.col(c).alias(a) for c, a in zip(found, ("source", "size", "source_size", "target", "rate", "copies"))])
 
 
@@ -137,6 +177,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it (not at all, once or more)."""
-    rows, found = mixed_rows(docs)
+    rows, found = mixed_rows(docs, docs.columns)
     copy = free(rows.columns, "copy")[0]
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(CAP)))).where(F.col(copy) < F.col(found[-1])).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Stages on rows that repeat ids and texts, or have no id."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -36,6 +37,18 @@ def test_equal_rows_take_their_copies(repeated):
     assert words == {r[0]: r[1] for r in out}
 
 
+def test_mixing_does_not_depend_on_how_a_table_is_split(spark):
+    rnd = random.Random(8)
+    rows = [(i % 900 if i % 7 else None, "w " * rnd.choice([3, 3, 3, 5, 8]) + str(i % 450), f"s{i % 3}") for i in range(1500)] + [(None, "a b c", "s0")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda df: sorted(map(repr, entropy_mix.mixed(df).select("doc_id", "source", "size", "copies").collect()))
+    texts = lambda df: Counter((r.doc_id, r.text) for r in entropy_mix.mixture(df).collect())
+    one, many = docs.repartition(1, "text"), docs.repartition(7)
+    assert taken(one) == taken(many) and texts(one) == texts(many)
+    reported = entropy_mix.mixed(many).selectExpr("sum(copies)").first()[0]
+    assert sum(texts(many).values()) == reported
+
+
 def test_sites_whose_names_run_together(spark):
     rows = [(1, "some words", "b/c", "a"), (2, "some words", "c", "a/b"), (3, "other words", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
