@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import NO_ID, back, free, materialize, n_words, numbered
 
-CAP, SHARE, WEIGHTS, SALTS = 2, 1.5, (5, 2, 1), 16
+CAP, SHARE, WEIGHTS, SALTS, SMALL = 2, 1.5, (5, 2, 1), 16, 10_000
 STEPS, CLOSE = 60, 1e-7
 
 
@@ -90,43 +90,51 @@ def rounded(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
 
 
 def met(rows: DataFrame, found: DataFrame, place: str, *on: str) -> DataFrame:
-    """rows that agree with a row of `found` in the columns `on`, with its other columns; null equals null.
+    """rows that agree with a row of `found`, a written table, in the columns `on`, with its other columns; null equals null.
 
-    A salt of `place`, which no row shares with another, keeps a frequent key from meeting in one task.
+    Up to SMALL rows, some 2 MB at most but for long names of sources, are counted and broadcast. More are met by a sort-merge join, whose salt of
+    `place`, which no row shares with another, keeps a frequent key from meeting in one task.
     """
     other = [c for c in found.columns if c not in on]
     *theirs, salt = free([*rows.columns, *found.columns], *(f"t_{c}" for c in on), "t_salt")
-    to = found.select(*[F.col(c).alias(t) for c, t in zip(on, theirs)], *other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    same = F.pmod(F.col(place), F.lit(SALTS)) == F.col(salt)
+    to = found.select(*[F.col(c).alias(t) for c, t in zip(on, theirs)], *other)
+    same = F.lit(True)
     for c, t in zip(on, theirs):
         same &= F.col(c).eqNullSafe(F.col(t))
-    return rows.join(to, same).drop(*theirs, salt)
+    if found.count() <= SMALL:
+        return rows.join(F.broadcast(to), same).drop(*theirs)
+    to = to.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return rows.join(to, same & (F.pmod(F.col(place), F.lit(SALTS)) == F.col(salt))).drop(*theirs, salt)
+
+
+def of_cell(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left (source, size, ...) with right's columns but (source, size), which a cell agrees in. Both grow with the cells, so neither is broadcast."""
+    to = right.withColumnsRenamed({"source": "s", "size": "z"}).hint("merge")
+    return left.join(to, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), how).drop("s", "z")
 
 
 def reached(counts: DataFrame, wanted: DataFrame, part: str) -> DataFrame:
     """(source, size, part, k): where in the order of `part` the k-th row of each cell of `wanted` lies, and which row of that part it is."""
-    to = wanted.select(F.col("source").alias("s"), F.col("size").alias("z"), "k")
     upto = F.sum("n").over(W.partitionBy("source", "size").orderBy(part))
-    rows = counts.join(to, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("upto", upto)
+    rows = of_cell(counts, wanted.select("source", "size", "k")).withColumn("upto", upto)
     return rows.where("k > upto - n and k <= upto").select("source", "size", part, (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
 
 
 def edges(rows: DataFrame, ranges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(source, size, order, place) of the k-th row of each cell of `wanted` (source, size, k), in order of both.
 
-    rows: (source, size, order, place). The search goes from sixteenths of the orders to one order, then, as equal rows
-    share it, from 4,096 parts of the places to one place.
+    rows: (source, size, order, place). The search goes from sixteenths of the orders to 4,096 slices of one, then to one
+    order; as equal rows share it, on to 4,096 slabs of the places and to one place. No step ranks more than 4,096 parts
+    of a cell, or the rows of one slice or slab.
     """
     cell = ["source", "size"]
-    counted = lambda df, part: df.groupBy(*cell, part).agg(F.count("*").alias("n"))
-    at = materialize(reached(ranges, wanted, "range"), "edge")
-    of_range = met(rows.withColumn("range", F.shiftright("order", 60)), at.drop("k"), "place", *cell, "range")
-    order = materialize(reached(counted(of_range, "order"), at, "order"), "edge")
-    tied = met(rows, order.drop("k"), "place", *cell, "order").withColumn("slab", F.shiftright("place", 52))
-    slab = materialize(reached(counted(tied, "slab"), order, "slab"), "edge")
-    place = reached(counted(met(tied, slab.drop("k"), "place", *cell, "slab"), "place"), slab, "place").drop("k")
-    theirs = place.toDF("s", "z", "place")
-    return order.drop("k").join(theirs, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    parts = {"range": F.shiftright("order", 60), "slice": F.shiftright("order", 48), "slab": F.shiftright("place", 52)}
+    near, at = rows.withColumns(parts), materialize(reached(ranges, wanted, "range"), "edge")
+    for known, part in (("range", "slice"), ("slice", "order"), ("order", "slab"), ("slab", "place")):
+        near = materialize(met(near, at.drop("k"), "place", *cell, known), "near")
+        counts = near.groupBy(*cell, part).agg(F.count("*").alias("n"))
+        at = materialize(reached(counts, at, part), "edge")
+    return met(near, at.drop("k"), "place", *cell, "place").select(*cell, "order", "place")
 
 
 def mixed_rows(docs: DataFrame, kept: list[str], share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, list[str]]:
@@ -154,8 +162,8 @@ def mixed_rows(docs: DataFrame, kept: list[str], share: float = SHARE, weights:
     kind = "source string, size long, n long, source_size long, target double, rate double, copies long"
     whole = materialize(aimed.groupBy("source").applyInPandas(lambda pdf: rounded(pdf, cap), kind), "solved")
     # the first copies % n of a cell's documents take one copy more than the others
-    edge = edges(keys, ranges, whole.select("source", "size", F.expr("copies % n").alias("k")).where("k > 0")).toDF("s", "z", "last", "last_place")
-    whole = whole.withColumn("base", F.expr("copies div n")).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    edge = edges(keys, ranges, whole.select("source", "size", F.expr("copies % n").alias("k")).where("k > 0"))
+    whole = of_cell(whole.withColumn("base", F.expr("copies div n")), edge.toDF("source", "size", "last", "last_place"), "left")
     whole = whole.select("source", "size", "source_size", "target", "rate", "base", "last", "last_place").toDF(source, size, source_size, target, rate, base, last, last_place)
     one_more = (F.col(order) < F.col(last)) | ((F.col(order) == F.col(last)) & (F.col(place) <= F.col(last_place)))
     out = met(rows, materialize(whole, "solved"), place, source, size).withColumn(copies, F.col(base) + F.coalesce(one_more, F.lit(False)).cast("long"))
