@@ -10,6 +10,9 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from functools import lru_cache
+from heapq import merge
+from itertools import takewhile
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import back, chunks, column, components, keyed, materialize, partitions, portion, record
+from quillspark.llm.common import NO_ID, back, chunks, column, components, keyed, materialize, partitions, portion, record
 
 CHAIN, KEPT_WORDS, LONG, SAMPLED = 2, 1 << 18, 100, 100
 #: The commonest words of English, French, German and Spanish.
@@ -186,14 +189,18 @@ def length_class(n: int, least: float) -> int:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(did, th, component): documents whose fingerprints are as alike as `least`, joined into classes.
+    """(did, th, root, component): documents whose fingerprints are as alike as `least`, joined into classes.
 
-    Equal fingerprints are one row. Distinct ones are dealt by class of length (own and next) and by each signature of
+    A node is a fingerprint, by its 64-bit hash, whatever its ids; root tells classes apart. component is the least id of
+    the class, for reports: null ids don't count unless it has no other, and classes that share an id may share the name.
+    Texts without words have the empty fingerprint and are one class. Equal fingerprints are one row. Distinct ones are dealt by class of length (own and next) and by each signature of
     their prefix: the least signatures by hash, so many that two alike sets must share one. Runs are compared in order
-    of length, each pair only as far as lengths allow and only if no link has joined it yet.
+    of length: each row with each class that links have made of the rows before it, only as far back as lengths allow and
+    only until one member is alike, so a large class of alike sets costs about one comparison a row.
     """
     prints = materialize(fingerprints(docs), "spots")
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("did").alias("node")), "distinct")
+    ids = F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least")
+    distinct = materialize(prints.groupBy("fingerprint").agg(ids).withColumn("node", F.xxhash64("fingerprint")), "distinct")
     dealt = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("fingerprint", pa.string())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -210,22 +217,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
                 yield record(dealt, *zip(*rows))
 
     def compare(run):
-        top = {x[2]: x[2] for x in run}
-
-        def root(x):
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        sets = [parsed(x[3]) for x in run]
-        for i in range(len(run)):
-            for j in range(i + 1, len(run)):
-                if run[i][1] < least * run[j][1]:
-                    break
-                a, b = root(run[i][2]), root(run[j][2])
-                if a != b and likeness(sets[i], sets[j], least) >= least:
-                    top[max(a, b)] = min(a, b)
-                    yield run[i][2], run[j][2]
+        classes: list[list[tuple[int, int, np.ndarray]]] = []  # rows so far, by what the links have joined
+        for _, n, node, fingerprint in run:
+            own, joined, others = parsed(fingerprint), [], []
+            for members in classes:
+                # the rows come by length: from the last member back, until lengths alone rule a link out
+                near = takewhile(lambda m: m[0] >= least * n, reversed(members))
+                link = next((m[1] for m in near if likeness(m[2], own, least) >= least), None)
+                if link is None:
+                    others += [members] if members[-1][0] >= least * n else []
+                else:
+                    joined.append(members)
+                    yield link, node
+            of = joined[0] if len(joined) == 1 else list(merge(*joined, key=itemgetter(0)))
+            of.append((n, node, own))
+            classes = [*others, of]
 
     def verify(batches):
         held = []
@@ -239,8 +245,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
             if out:
                 yield record(edge, *zip(*out))
 
-    rows = distinct.mapInArrow(deal, "key long, n int, node long, fingerprint string")
+    rows = distinct.select("fingerprint", "node").mapInArrow(deal, "key long, n int, node long, fingerprint string")
     links = rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n", "node").mapInArrow(verify, "a long, b long")
     found = components(materialize(links, "links"))
-    rooted = distinct.join(found, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component"))
-    return prints.join(rooted, "fingerprint").select("did", "th", "component")
+    rooted = distinct.join(found, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.coalesce(F.min("least"), F.lit(NO_ID)).alias("component"))
+    return prints.join(rooted.join(names, "root").select("fingerprint", "root", "component"), "fingerprint").select("did", "th", "root", "component")

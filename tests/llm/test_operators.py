@@ -347,6 +347,12 @@ def test_spots_and_classes_against_all_pairs(spark):
     want = [root(i) for i in range(len(texts))]
     got = [found[i] for i in range(len(texts))]
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(texts)
+    # ids don't tell classes: the same texts with null ids and one id on unlike texts
+    shared = [(None if i % 2 else 7 if i % 4 else i, t) for i, t in enumerate(texts)]
+    again = spotsigs.near_duplicates(spark.createDataFrame(shared, "doc_id long, text string").repartition(4)).collect()
+    sizes = lambda roots: sorted(Counter(roots).values())
+    assert sizes(r.root for r in again) == sizes(want)
+    assert {r.did for r in again if r.component == spotsigs.NO_ID} <= {spotsigs.NO_ID}
 
 
 def test_classifiers(spark, docs, none, labels):
