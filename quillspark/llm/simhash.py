@@ -12,6 +12,10 @@ some 15% of their bits, too many for keys of several blocks, so its prints are w
 close pairs share one or more, and CHECK bits beside them whose Hamming distance is verified. What passes is compared by
 the exact sets of shingles. Of the rows that share a block one leads and the others are compared with it, so a group of
 copies gives a pair for each row and shared block, never all pairs; what one map task holds of a group is settled there.
+The prints find most groups, not all links: alike sets may share no block, and rows led by one that is not alike are not
+compared with each other. So every pair that is in no group together is then looked at once more by `crossing`: two sets
+at `least` share some of their rarest shingles (their prefixes); these are dealt, counted for each pair, and what has
+enough of them is compared.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, chunks, column, components, free, keyed, materialize, partitions, record
+from quillspark.llm.common import NO_ID, back, chunks, column, components, free, keyed, materialize, partitions, portion, record
 
 #: Shingles hashed at a time: bounds memory on very long texts.
 SLAB = 1 << 17
@@ -34,6 +39,10 @@ PAIRED, BLOCKED = 64, 2048
 #: Wide prints: blocks, bits in each, bits of the check, and how many of these may differ (at 0.8 some 19 of 128 do).
 BLOCKS, WIDTH, CHECK, LIMIT = 64, 20, 128, 28
 SALTS = 64
+#: Prefixes are ordered by counts in a sample of some SAMPLED texts: the HEAVY commonest shingles that SEEN or more of them have.
+SAMPLED, SEEN, HEAVY = 20_000, 3, 50_000
+#: Pairs held before they are passed on; slack of comparisons in floating point.
+HELD, SLACK = 1 << 20, 1e-6
 
 
 def shingle_spans(body: bytes, k: int) -> tuple[bytes, list[int], list[int]]:
@@ -325,35 +334,190 @@ def text_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("body"))
 
 
-def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(did, th, node, root) of each row of docs (doc_id, text, ...): node names its set of shingles, root its group.
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted: the commonest shingles of a bounded sample of distinct texts. Only speed depends on them."""
+    out = pa.schema([("key", pa.int64())])
+
+    def run(batches):
+        for b in chunks(batches):
+            yield record(out, np.concatenate([shingle_set(x, shingle) for x in b.column(2).to_pylist()]).view(np.int64))
+
+    some = text_keys(docs).where(portion(F.xxhash64("th"), SAMPLED / max(docs.count(), 1))).dropDuplicates(["th"])
+    counts = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= SEEN)
+    rows = counts.orderBy(F.desc("count"), "key").limit(HEAVY).collect()
+    known = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    by = np.argsort(known)
+    return known[by], np.array([r["count"] for r in rows], np.int64)[by]
+
+
+def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
+    """In any common order, two sets as alike as `least` share one of their first so many of n shingles."""
+    return n - np.ceil(least * n - SLACK).astype(np.int64) + 1
+
+
+def prefix(signs: np.ndarray, known: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a sorted set that are rarest by the sample, then least by hash; none where only an equal set is alike."""
+    n = len(signs)
+    if n < least * (n + 1) - SLACK:
+        return signs[:0]
+    if len(known):
+        at = np.minimum(np.searchsorted(known, signs), len(known) - 1)
+        signs = signs[np.argsort(np.where(known[at] == signs, counts[at], 0), kind="stable")]
+    return signs[: prefix_length(np.int64(n), least)]
+
+
+def run_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of sorted keys start, and their lengths."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def unsettled(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """True of rows whose run has more than one root."""
+    starts, sizes = run_bounds(key)
+    return np.repeat(np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts), sizes)
+
+
+def crossing(key: np.ndarray, root: np.ndarray, n: np.ndarray, least: float):
+    """Places (i, j) of all pairs of equal key and unlike roots whose sizes allow `least`; rows sorted by key and n."""
+    starts, sizes = run_bounds(key)
+    at, step = np.flatnonzero(np.repeat(sizes <= PAIRED, sizes)), 1
+    while len(at):
+        at = at[at + step < len(key)]
+        # sizes ascend within a run: where one is too large, all that follow are
+        at = at[(key[at] == key[at + step]) & (n[at] >= least * n[at + step] - SLACK)]
+        hit = at[root[at] != root[at + step]]
+        yield hit, hit + step
+        step += 1
+    for s, m in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+        _, which, many = np.unique(root[s : s + m], return_inverse=True, return_counts=True)
+        # rows of a root meet those of commoner ones, so the rows of a large group are never met with each other
+        rank, own = np.argsort(np.argsort(many, kind="stable"))[which], n[s : s + m]
+        for i in np.flatnonzero(rank < len(many) - 1).tolist():
+            a, z = np.searchsorted(own, least * own[i] - SLACK), np.searchsorted(own, (own[i] + SLACK) / least, "right")
+            hit = s + a + np.flatnonzero(rank[a:z] > rank[i])
+            yield np.full(len(hit), s + i), hit
+
+
+def beside(key: np.ndarray, root: np.ndarray, n: np.ndarray, least: float):
+    """Of `crossing` only the pairs of rows that follow each other."""
+    i = np.flatnonzero((key[1:] == key[:-1]) & (root[1:] != root[:-1]) & (n[:-1] >= least * n[1:] - SLACK))
+    yield i, i + 1
+
+
+def by_run(rows: DataFrame, emit, schema: str) -> DataFrame:
+    """emit(key, node, root, n) over whole runs of rows (key, node, root, n), sorted by key and n, where a run has more than one root."""
+    names = ("key", "node", "root", "n")
+
+    def run(batches):
+        held = None
+        for b in (*batches, None):
+            if b is not None:
+                new = [column(b, c) for c in names]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None or not len(held[0]):
+                continue
+            # the last run may go on in the next batch
+            m = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+            if m:
+                open_ = unsettled(held[0][:m], held[2][:m])
+                if open_.any():
+                    yield from emit(*(x[:m][open_] for x in held))
+                held = [x[m:] for x in held]
+
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
 
-    Every link is an exact Jaccard similarity of `least` or more; which pairs are looked at is up to the prints, so some
-    are missed (README: recall). Texts without words have the empty set and are one group.
+
+def dealt_prefixes(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, root, n): a row for each shingle of a prefix of distinct (node, n, prefix) that nodes of unlike roots have."""
+    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int32())])
+
+    def deal(batches):
+        for b in chunks(batches, 1 << 20):
+            lists = b.column(b.schema.get_field_index("prefix"))
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            yield record(out, lists.flatten(), *(np.repeat(column(b, c), sizes) for c in ("node", "root", "n")))
+
+    rooted = distinct.select("node", "n", "prefix").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    rows = rooted.mapInArrow(deal, "key long, node long, root long, n int")
+    return by_run(rows, lambda *columns: [record(out, *columns)], "key long, node long, root long, n int")
+
+
+def candidates(rows: DataFrame, pick, least: float) -> DataFrame:
+    """(a, b, ra, rb, needed, count): the pairs of nodes that `pick` takes from runs of (key, node, root, n), with their roots.
+
+    count tells the shingles that both prefixes have, if `pick` takes all pairs. Common shingles beyond the prefix that
+    ends first are at most the rest of its set, so a pair whose count is below `needed` cannot reach `least`.
     """
-    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int32())), ("check", pa.list_(pa.int64()))])
+    out = pa.schema([(c, pa.int64()) for c in ("a", "b", "ra", "rb", "needed")])
+
+    def emit(key, node, root, n):
+        n, held, size = n.astype(np.int64), [], 0
+        rest = n - prefix_length(n, least)
+        for i, j in pick(key, root, n, least):
+            held.append((i, j))
+            size += len(i)
+            if size >= HELD:
+                yield named(held, node, root, n, rest)
+                held, size = [], 0
+        if size:
+            yield named(held, node, root, n, rest)
+
+    def named(held, node, root, n, rest):
+        i, j = (np.concatenate(x) for x in zip(*held))
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        needed = np.ceil(least / (1 + least) * (n[i] + n[j]) - SLACK).astype(np.int64) - np.maximum(rest[i], rest[j])
+        return record(out, node[i], node[j], root[i], root[j], needed)
+
+    return by_run(rows, emit, "a long, b long, ra long, rb long, needed long").groupBy("a", "b", "ra", "rb", "needed").count()
+
+
+def zipped_texts(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, zip): texts of the nodes in pairs (a, b), one row a node."""
     zipped = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("zip", pa.binary())])
 
-    def read(batches):
-        for b in chunks(batches):
-            sets = [shingle_set(x, shingle) for x in b.column(2).to_pylist()]
-            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield record(own, b.column(0), b.column(1), nodes, *zip(*map(wide_print, sets)))
-
     def press(batches):
         zip_ = zstandard.ZstdCompressor(3).compress
         for b in chunks(batches):
             yield record(zipped, b.column(0), b.column(1), [zip_(x) for x in b.column(2).to_pylist()])
 
-    prints = materialize(text_keys(docs).mapInArrow(read, "did long, th long, node long, keys array<int>, check array<long>"), "prints")
-    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "keys", "check")).alias("s")).select("node", "s.*")
-    distinct = materialize(distinct, "distinct")
-    pairs = materialize(met(distinct), "pairs")
-    # texts of the nodes in pairs, one row a node
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = distinct.select("node", "did", "th").join(asked, "node", "left_semi")
     texts = text_keys(docs).mapInArrow(press, "did long, th long, zip binary").join(asked, ["did", "th"]).select("node", "zip").dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
+    return materialize(texts, "texts")
+
+
+def regrouped(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of `components` after more links (a, b)."""
+    root = lambda side: found.toDF(side, f"{side}_root")
+    tops = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    # a root has no row in found, so none has two
+    top = components(materialize(tops, "tops"))
+    moved = found.join(top.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(moved.union(top), "found")
+
+
+def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(did, th, node, root) of each row of docs (doc_id, text, ...): node names its set of shingles, root its group.
+
+    Links are all pairs with an exact Jaccard similarity of `least` or more: prints find most groups, prefixes what is
+    left between groups. Texts without words have the empty set and are one group.
+    """
+    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("check", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    known, counts = frequent(docs, shingle)
+
+    def read(batches):
+        for b in chunks(batches):
+            sets = [shingle_set(x, shingle) for x in b.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            firsts = [prefix(x, known, counts, least).view(np.int64) for x in sets]
+            yield record(own, b.column(0), b.column(1), nodes, [len(x) for x in sets], *zip(*map(wide_print, sets)), firsts)
+
+    prints = materialize(text_keys(docs).mapInArrow(read, "did long, th long, node long, n int, keys array<int>, check array<long>, prefix array<long>"), "prints")
+    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "n", "keys", "check", "prefix")).alias("s")).select("node", "s.*")
+    distinct = materialize(distinct, "distinct")
+    pairs = materialize(met(distinct), "pairs")
+    texts = zipped_texts(docs, distinct, pairs)
     # one pair for each node first; of the others only those that would still join two groups
     first = materialize(compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "first")
     found = components(first)
@@ -362,6 +526,14 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     more = compared(open_, texts, shingle, least)
     found = components(materialize(first.union(more), "links"))
+    rows = materialize(dealt_prefixes(distinct, found), "prefixes")
+    # the likeliest pair of two groups first, so that the parts of a large one are not met pair by pair
+    best = candidates(rows, beside, least).groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max(F.struct("count", "a", "b")).alias("s"))
+    best = materialize(best.select("s.a", "s.b"), "best")
+    found = regrouped(found, compared(best, zipped_texts(docs, distinct, best), shingle, least))
+    rows = rows.drop("root").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n")
+    left = materialize(candidates(rows, crossing, least).where("count >= needed").select("a", "b"), "left")
+    found = regrouped(found, compared(left, zipped_texts(docs, distinct, left), shingle, least))
     return prints.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root"))
 
 

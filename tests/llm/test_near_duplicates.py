@@ -88,6 +88,69 @@ def test_groups_are_exact_where_prints_meet(spark, texts):
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_every_link_at_the_threshold_is_found(spark):
+    """Pairs just over and just under 0.8: the prints alone met some 95 of 100 of those over it."""
+    rnd, out = random.Random(12), []
+    for i in range(300):
+        n = rnd.randrange(60, 200)
+        base = [f"w{i}.{j}" for j in range(n)]
+        # a new run of m words at the end leaves (n - 4 - m) of (n - 4 + m) shingles, so that m = (n - 4) / 9 is the bound
+        for m in ((n - 4) // 9, (n - 4) // 9 + 1):
+            out += [" ".join(base[: n - m] + [f"z{i}.{m}.{j}" for j in range(m)])]
+        out.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(5)
+    sets = [plain(t) for t in out]
+    assert {alike(sets[i], sets[i + 2]) for i in range(0, 900, 3)} == {True} and {alike(sets[i + 1], sets[i + 2]) for i in range(0, 900, 3)} == {False}
+    want, found = roots(sets), {r.did: r.root for r in simhash.alike(docs).collect()}
+    assert len(set(zip(want, map(found.get, range(900))))) == len(set(want)) == len(set(found.values()))
+
+
+def test_links_of_rows_behind_an_unlike_leader(spark):
+    """All texts are near one template, few alike: whichever row leads, the others' links must be found."""
+    rnd, out = random.Random(5), []
+    base = [f"w{j}" for j in range(200)]
+    for i in range(150):
+        t = list(base)
+        for s in rnd.sample(range(0, 200, 10), 3):
+            t[s : s + 4] = [f"z{i}.{s}.{j}" for j in range(4)]
+        u = list(t)
+        at = rnd.randrange(180)
+        u[at : at + 12] = [f"y{i}.{j}" for j in range(12)]
+        out += [" ".join(t), " ".join(u)]
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    want, found = roots([plain(t) for t in out]), {r.did: r.root for r in simhash.alike(docs).collect()}
+    assert len(set(zip(want, map(found.get, range(300))))) == len(set(want)) == len(set(found.values()))
+
+
+@pytest.mark.parametrize("paired", [0, 64])
+def test_crossing_is_all_pairs(monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rnd = np.random.default_rng(4)
+    n, key, root = rnd.integers(4, 60, 600), rnd.integers(0, 9, 600) ** 2, rnd.integers(0, 40, 600) // 3
+    by = np.lexsort((n, key))
+    key, root, n = key[by], root[by], n[by]
+    got = [tuple(sorted(p)) for i, j in simhash.crossing(key, root, n, 0.8) for p in zip(i.tolist(), j.tolist())]
+    want = {(i, j) for j in range(600) for i in range(j) if key[i] == key[j] and root[i] != root[j] and 5 * n[i] >= 4 * n[j]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_alike_sets_pass_the_count_of_their_prefixes():
+    rnd, met = random.Random(7), 0
+    for _ in range(3000):
+        n = rnd.randrange(4, 120)
+        words = np.array(rnd.sample(range(10**6), n + n // 4), np.uint64)
+        a, b = np.unique(words[: n - rnd.randrange(n // 9 + 2)]), np.unique(words[rnd.randrange(n // 9 + 2) : n + rnd.randrange(n // 5 + 1)])
+        common = len(np.intersect1d(a, b))
+        if common < 0.8 * (len(a) + len(b) - common) - 1e-9 or np.array_equal(a, b):
+            continue
+        known = np.unique(words[::3])
+        x, y = (simhash.prefix(s, known, (known % np.uint64(5)).astype(np.int64), 0.8) for s in (a, b))
+        beyond = max(len(a) - len(x), len(b) - len(y))
+        assert len(np.intersect1d(x, y)) >= max(1, np.ceil((len(a) + len(b)) / 2.25 - 1e-6) - beyond)
+        met += 1
+    assert met > 300
+
+
 def test_a_large_group_is_one_group(spark):
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(200)]
