@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import NO_ID, back, chunks, column, components, free, keyed, materialize, partitions, portion, record
+from quillspark.llm.common import NO_ID, back, chunks, column, components, free, keyed, materialize, partitions, portion, record, release, written
 
 #: Shingles hashed at a time: bounds memory on very long texts.
 SLAB = 1 << 17
@@ -472,19 +472,21 @@ def candidates(rows: DataFrame, pick, least: float) -> DataFrame:
     return by_run(rows, emit, "a long, b long, ra long, rb long, needed long").groupBy("a", "b", "ra", "rb", "needed").count()
 
 
-def zipped_texts(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, zip): texts of the nodes in pairs (a, b), one row a node."""
-    zipped = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("zip", pa.binary())])
+def zipped_texts(docs: DataFrame, names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
+    """(node, zip): texts of the nodes in pairs (a, b), one row a node; names: (node, did, th). keep writes tables.
+
+    Texts are joined before they are pressed, so that Spark sees the table asked for, which it may broadcast if it is small.
+    """
+    zipped = pa.schema([("node", pa.int64()), ("zip", pa.binary())])
 
     def press(batches):
         zip_ = zstandard.ZstdCompressor(3).compress
         for b in chunks(batches):
-            yield record(zipped, b.column(0), b.column(1), [zip_(x) for x in b.column(2).to_pylist()])
+            yield record(zipped, column(b, "node"), [zip_(x) for x in b.column(1).to_pylist()])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = distinct.select("node", "did", "th").join(asked, "node", "left_semi")
-    texts = text_keys(docs).mapInArrow(press, "did long, th long, zip binary").join(asked, ["did", "th"]).select("node", "zip").dropDuplicates(["node"])
-    return materialize(texts, "texts")
+    asked = keep(names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "did", "th"), "asked")
+    texts = text_keys(docs).join(asked, ["did", "th"]).select("node", "body").mapInArrow(press, "node long, zip binary")
+    return keep(texts.dropDuplicates(["node"]), "texts")
 
 
 def regrouped(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -513,28 +515,41 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
             firsts = [prefix(x, known, counts, least).view(np.int64) for x in sets]
             yield record(own, b.column(0), b.column(1), nodes, [len(x) for x in sets], *zip(*map(wide_print, sets)), firsts)
 
-    prints = materialize(text_keys(docs).mapInArrow(read, "did long, th long, node long, n int, keys array<int>, check array<long>, prefix array<long>"), "prints")
+    spark, folders = docs.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table, folder = written(df, name)
+        folders.append(folder)
+        return table
+
+    prints, large = written(text_keys(docs).mapInArrow(read, "did long, th long, node long, n int, keys array<int>, check array<long>, prefix array<long>"), "prints")
+    rows = keep(prints.select("did", "th", "node"), "rows")
     distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "n", "keys", "check", "prefix")).alias("s")).select("node", "s.*")
-    distinct = materialize(distinct, "distinct")
-    pairs = materialize(met(distinct), "pairs")
-    texts = zipped_texts(docs, distinct, pairs)
+    distinct, at = written(distinct, "distinct")
+    release(spark, large)
+    names = keep(distinct.select("node", "did", "th"), "names")
+    pairs = keep(met(distinct), "pairs")
+    texts = zipped_texts(docs, names, pairs, keep)
     # one pair for each node first; of the others only those that would still join two groups
-    first = materialize(compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "first")
+    first = keep(compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, least), "first")
     found = components(first)
     root = lambda side: found.toDF(side, f"{side}_root")
     open_ = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = compared(open_, texts, shingle, least)
-    found = components(materialize(first.union(more), "links"))
-    rows = materialize(dealt_prefixes(distinct, found), "prefixes")
+    found = regrouped(found, compared(open_, texts, shingle, least))
+    prefixes = keep(dealt_prefixes(distinct, found), "prefixes")
+    release(spark, at)
     # the likeliest pair of two groups first, so that the parts of a large one are not met pair by pair
-    best = candidates(rows, beside, least).groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max(F.struct("count", "a", "b")).alias("s"))
-    best = materialize(best.select("s.a", "s.b"), "best")
-    found = regrouped(found, compared(best, zipped_texts(docs, distinct, best), shingle, least))
-    rows = rows.drop("root").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n")
-    left = materialize(candidates(rows, crossing, least).where("count >= needed").select("a", "b"), "left")
-    found = regrouped(found, compared(left, zipped_texts(docs, distinct, left), shingle, least))
-    return prints.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root"))
+    best = candidates(prefixes, beside, least).where("count >= needed").groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max(F.struct("count", "a", "b")).alias("s"))
+    best = keep(best.select("s.a", "s.b"), "best")
+    found = regrouped(found, compared(best, zipped_texts(docs, names, best, keep), shingle, least))
+    prefixes = prefixes.drop("root").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n")
+    left = keep(candidates(prefixes, crossing, least).where("count >= needed").select("a", "b"), "left")
+    found = regrouped(found, compared(left, zipped_texts(docs, names, left, keep), shingle, least))
+    groups = materialize(rows.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root")), "groups")
+    for folder in folders:
+        release(spark, folder)
+    return groups
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
