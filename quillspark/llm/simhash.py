@@ -14,8 +14,9 @@ the exact sets of shingles. Of the rows that share a block one leads and the oth
 copies gives a pair for each row and shared block, never all pairs; what one map task holds of a group is settled there.
 The prints find most groups, not all links: alike sets may share no block, and rows led by one that is not alike are not
 compared with each other. So every pair that is in no group together is then looked at once more by `crossing`: two sets
-at `least` share some of their rarest shingles (their prefixes); these are dealt, counted for each pair, and what has
-enough of them is compared.
+at `least` share some of their rarest shingles (their prefixes). Where more than FEW rows meet by one of these they are
+held against each other by parities of their sets, which bound from below how many shingles they differ in, and only
+pairs that may be alike are passed on. Pairs are counted, and those with enough shingles in common compared.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BLOCKS, WIDTH, CHECK, LIMIT = 64, 20, 128, 28
 SALTS = 64
 #: Prefixes are ordered by counts in a sample of some SAMPLED texts: the HEAVY commonest shingles that SEEN or more of them have.
 SAMPLED, SEEN, HEAVY = 20_000, 3, 50_000
+#: Runs of up to FEW rows pass on all their pairs: these are fewer bytes than the rows' parities.
+FEW = 8
 #: Pairs held before they are passed on; slack of comparisons in floating point.
 HELD, SLACK = 1 << 20, 1e-6
 
@@ -399,15 +402,49 @@ def crossing(key: np.ndarray, root: np.ndarray, n: np.ndarray, least: float):
             yield np.full(len(hit), s + i), hit
 
 
-def beside(key: np.ndarray, root: np.ndarray, n: np.ndarray, least: float):
-    """Of `crossing` only the pairs of rows that follow each other."""
-    i = np.flatnonzero((key[1:] == key[:-1]) & (root[1:] != root[:-1]) & (n[:-1] >= least * n[1:] - SLACK))
-    yield i, i + 1
+def parities(signs: np.ndarray) -> bytes:
+    """A bit for each of 128, 256, ... places, at least two a shingle: whether an odd number of the set's shingles fall there.
 
-
-def by_run(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """emit(key, node, root, n) over whole runs of rows (key, node, root, n), sorted by key and n, where a run has more than one root."""
-    names = ("key", "node", "root", "n")
+    Two sets differ in as many shingles as their parities do in bits, or in more. The halves of the bits, xored, are the
+    parities at half as many places.
+    """
+    places = 128 << (max(len(signs) - 1, 0) >> 6).bit_length()
+    return np.packbits(np.bincount((signs & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def differences(bits: np.ndarray):
+    """A function of rows (i, j): how many bits their parities (none: -1) differ in, the longer ones halved to the shorter."""
+    sizes, levels = np.fromiter((len(x or b"") for x in bits), np.int64, len(bits)), {}
+
+    def level(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each row stands, and the parities of `size` bytes beside those of twice as many, halved."""
+        if size not in levels:
+            own, twice = (np.flatnonzero(sizes == s) for s in (size, 2 * size))
+            half = size // 8
+            rows, wide = (np.frombuffer(b"".join(bits[x]), np.uint64).reshape(len(x), w) for x, w in ((own, half), (twice, 2 * half)))
+            at = np.zeros(len(bits), np.int64)
+            at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            levels[size] = at, np.concatenate((rows, wide[:, :half] ^ wide[:, half:]))
+        return levels[size]
+
+    def count(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        less = np.minimum(sizes[i], sizes[j])
+        out = np.full(len(i), -1)
+        for size in np.unique(less[less > 0]).tolist():
+            (at, rows), step = level(size), max(1, HELD // size)
+            # parities of more unlike lengths are not compared
+            own = np.flatnonzero((less == size) & (np.maximum(sizes[i], sizes[j]) <= 2 * size))
+            for k in range(0, len(own), step):
+                x = own[k : k + step]
+                out[x] = np.bitwise_count(rows[at[i[x]]] ^ rows[at[j[x]]]).sum(axis=1)
+        return out
+
+    return count
+
+
+def by_run(rows: DataFrame, emit, schema: str, *more: str) -> DataFrame:
+    """emit(key, node, root, n, *more) over whole runs of rows, sorted by key and n, where a run has more than one root."""
+    names = ("key", "node", "root", "n", *more)
 
     def run(batches):
         held = None
@@ -425,11 +462,11 @@ def by_run(rows: DataFrame, emit, schema: str) -> DataFrame:
                     yield from emit(*(x[:m][open_] for x in held))
                 held = [x[m:] for x in held]
 
-    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
+    return rows.select(*names).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
 
 
 def dealt_prefixes(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, node, root, n): a row for each shingle of a prefix of distinct (node, n, prefix) that nodes of unlike roots have."""
+    """(key, node, root, n, many): a row for each shingle of a prefix of distinct (node, n, prefix) that nodes of unlike roots have; many: the nodes."""
     out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int32())])
 
     def deal(batches):
@@ -440,36 +477,82 @@ def dealt_prefixes(distinct: DataFrame, found: DataFrame) -> DataFrame:
 
     rooted = distinct.select("node", "n", "prefix").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
     rows = rooted.mapInArrow(deal, "key long, node long, root long, n int")
-    return by_run(rows, lambda *columns: [record(out, *columns)], "key long, node long, root long, n int")
+    met_by = pa.schema([*out, ("many", pa.int32())])
+
+    def emit(key, *columns):
+        sizes = run_bounds(key)[1]
+        yield record(met_by, key, *columns, np.repeat(sizes, sizes).astype(np.int32))
 
+    return by_run(rows, emit, "key long, node long, root long, n int, many int")
 
-def candidates(rows: DataFrame, pick, least: float) -> DataFrame:
-    """(a, b, ra, rb, needed, count): the pairs of nodes that `pick` takes from runs of (key, node, root, n), with their roots.
 
-    count tells the shingles that both prefixes have, if `pick` takes all pairs. Common shingles beyond the prefix that
-    ends first are at most the rest of its set, so a pair whose count is below `needed` cannot reach `least`.
+def passing(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, least: float):
+    """(i, j, over): of `crossing` the places that parities, if there are any, allow to reach `least`; over: bits that differ, less those that may."""
+    count, held, size = differences(bits), [], 0
+
+    def kept(held):
+        i, j = (np.concatenate(x) for x in zip(*held))
+        apart = count(i, j)
+        over = np.where(apart < 0, 0, apart - (1 - least) / (1 + least) * (n[i] + n[j]))
+        keep = over <= SLACK
+        return i[keep], j[keep], over[keep]
+
+    for i, j in crossing(key, root, n, least):
+        held.append((i, j))
+        size += len(i)
+        if size >= HELD:
+            yield kept(held)
+            held, size = [], 0
+    if size:
+        yield kept(held)
+
+
+def ordered(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = node[i] < node[j]
+    return np.where(first, i, j), np.where(first, j, i)
+
+
+def likeliest(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each two roots that meet in runs of (key, node, root, n, bits), of the pairs that `passing` takes one that differs least."""
+    out = pa.schema([("ra", pa.int64()), ("rb", pa.int64()), ("over", pa.float64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def best(ra, rb, over, a, b):
+        by = np.lexsort((b, a, over, rb, ra))
+        ra, rb, over, a, b = (x[by] for x in (ra, rb, over, a, b))
+        first = np.concatenate((np.ones(min(1, len(ra)), bool), (ra[1:] != ra[:-1]) | (rb[1:] != rb[:-1])))
+        return [x[first] for x in (ra, rb, over, a, b)]
+
+    def emit(key, node, root, n, bits):
+        found = None
+        for i, j, over in passing(key, root, n.astype(np.int64), bits, least):
+            i, j = ordered(root, i, j)
+            new = [root[i], root[j], over, np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
+            found = best(*(new if found is None else map(np.concatenate, zip(found, new))))
+        if found is not None:
+            yield record(out, *found)
+
+    pairs = by_run(rows, emit, "ra long, rb long, over double, a long, b long", "bits")
+    return pairs.groupBy("ra", "rb").agg(F.min(F.struct("over", "a", "b")).alias("s")).select("s.a", "s.b")
+
+
+def candidates(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, needed, count): the pairs of nodes that `passing` takes from runs of (key, node, root, n, bits).
+
+    count tells the shingles that both prefixes have, but for pairs that parities show to be unlike: the others are taken
+    from all runs that both are in. Common shingles beyond the prefix that ends first are at most the rest of its set, so
+    a pair whose count is below `needed` cannot reach `least`.
     """
-    out = pa.schema([(c, pa.int64()) for c in ("a", "b", "ra", "rb", "needed")])
+    out = pa.schema([(c, pa.int64()) for c in ("a", "b", "needed")])
 
-    def emit(key, node, root, n):
-        n, held, size = n.astype(np.int64), [], 0
+    def emit(key, node, root, n, bits):
+        n = n.astype(np.int64)
         rest = n - prefix_length(n, least)
-        for i, j in pick(key, root, n, least):
-            held.append((i, j))
-            size += len(i)
-            if size >= HELD:
-                yield named(held, node, root, n, rest)
-                held, size = [], 0
-        if size:
-            yield named(held, node, root, n, rest)
-
-    def named(held, node, root, n, rest):
-        i, j = (np.concatenate(x) for x in zip(*held))
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        needed = np.ceil(least / (1 + least) * (n[i] + n[j]) - SLACK).astype(np.int64) - np.maximum(rest[i], rest[j])
-        return record(out, node[i], node[j], root[i], root[j], needed)
+        for i, j, _ in passing(key, root, n, bits, least):
+            i, j = ordered(node, i, j)
+            needed = np.ceil(least / (1 + least) * (n[i] + n[j]) - SLACK).astype(np.int64) - np.maximum(rest[i], rest[j])
+            yield record(out, node[i], node[j], needed)
 
-    return by_run(rows, emit, "a long, b long, ra long, rb long, needed long").groupBy("a", "b", "ra", "rb", "needed").count()
+    return by_run(rows, emit, "a long, b long, needed long", "bits").groupBy("a", "b", "needed").count()
 
 
 def zipped_texts(docs: DataFrame, names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
@@ -505,7 +588,7 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     Links are all pairs with an exact Jaccard similarity of `least` or more: prints find most groups, prefixes what is
     left between groups. Texts without words have the empty set and are one group.
     """
-    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("check", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    own = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("check", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
     known, counts = frequent(docs, shingle)
 
     def read(batches):
@@ -513,7 +596,7 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
             sets = [shingle_set(x, shingle) for x in b.column(2).to_pylist()]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             firsts = [prefix(x, known, counts, least).view(np.int64) for x in sets]
-            yield record(own, b.column(0), b.column(1), nodes, [len(x) for x in sets], *zip(*map(wide_print, sets)), firsts)
+            yield record(own, b.column(0), b.column(1), nodes, [len(x) for x in sets], *zip(*map(wide_print, sets)), firsts, list(map(parities, sets)))
 
     spark, folders = docs.sparkSession, []
 
@@ -522,9 +605,9 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         folders.append(folder)
         return table
 
-    prints, large = written(text_keys(docs).mapInArrow(read, "did long, th long, node long, n int, keys array<int>, check array<long>, prefix array<long>"), "prints")
+    prints, large = written(text_keys(docs).mapInArrow(read, "did long, th long, node long, n int, keys array<int>, check array<long>, prefix array<long>, bits binary"), "prints")
     rows = keep(prints.select("did", "th", "node"), "rows")
-    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "n", "keys", "check", "prefix")).alias("s")).select("node", "s.*")
+    distinct = prints.groupBy("node").agg(F.min(F.struct("did", "th", "n", "keys", "check", "prefix", "bits")).alias("s")).select("node", "s.*")
     distinct, at = written(distinct, "distinct")
     release(spark, large)
     names = keep(distinct.select("node", "did", "th"), "names")
@@ -538,13 +621,16 @@ def alike(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     found = regrouped(found, compared(open_, texts, shingle, least))
     prefixes = keep(dealt_prefixes(distinct, found), "prefixes")
+    crowded = prefixes.where(F.col("many") > FEW)
+    bits = keep(distinct.select("node", "bits").join(crowded.select("node").distinct(), "node", "left_semi"), "bits")
     release(spark, at)
     # the likeliest pair of two groups first, so that the parts of a large one are not met pair by pair
-    best = candidates(prefixes, beside, least).where("count >= needed").groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max(F.struct("count", "a", "b")).alias("s"))
-    best = keep(best.select("s.a", "s.b"), "best")
+    best = keep(likeliest(crowded.join(bits, "node"), least), "best")
     found = regrouped(found, compared(best, zipped_texts(docs, names, best, keep), shingle, least))
-    prefixes = prefixes.drop("root").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n")
-    left = keep(candidates(prefixes, crossing, least).where("count >= needed").select("a", "b"), "left")
+    prefixes = prefixes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    few = prefixes.where(F.col("many") <= FEW).withColumn("bits", F.lit(None).cast("binary"))
+    rows_met = prefixes.where(F.col("many") > FEW).join(bits, "node").unionByName(few)
+    left = keep(candidates(rows_met, least).where("count >= needed").select("a", "b"), "left")
     found = regrouped(found, compared(left, zipped_texts(docs, names, left, keep), shingle, least))
     groups = materialize(rows.join(found, "node", "left").select("did", "th", "node", F.coalesce("root", "node").alias("root")), "groups")
     for folder in folders:

@@ -134,6 +134,49 @@ def test_crossing_is_all_pairs(monkeypatch, paired):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_passed_on_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """All texts are near one template and share its shingles, but hardly any two are alike."""
+    rnd, out, passed = random.Random(6), [], []
+    base = [f"w{j}" for j in range(200)]
+    for i in range(400):
+        t = list(base)
+        for s in rnd.sample(range(0, 200, 10), 3):
+            t[s : s + 4] = [f"z{i}.{s}.{j}" for j in range(4)]
+        out.append(" ".join(t))
+    out.append(" ".join([*out[7].split()[:-1], "last"]))
+    whole = simhash.by_run
+
+    def counted(rows, emit, schema, *more):
+        table = simhash.materialize(whole(rows, emit, schema, *more), "counted")
+        passed.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "by_run", counted)
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    want, found = roots([plain(t) for t in out]), {r.did: r.root for r in simhash.alike(docs).collect()}
+    assert len(set(zip(want, map(found.get, range(401))))) == len(set(want)) == len(set(found.values()))
+    # the rows that meet, then the pairs that they pass on
+    assert passed[0] > 4000 and sum(passed[1:]) < passed[0]
+
+
+def test_parities_lose_no_pair():
+    rnd = np.random.default_rng(9)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 5, 63, 64, 65, 128, 129, 250, 258, 300, 900):
+        one = rnd.integers(0, 2**64, n, np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.1, 0.12, 0.3):
+            sets.append(np.unique(np.concatenate((one[round(share * n) :], rnd.integers(0, 2**64, rnd.integers(0, n // 8 + 1), np.uint64)))))
+    sets.sort(key=len)
+    n, bits = np.array(list(map(len, sets))), np.array(list(map(simhash.parities, sets)), object)
+    i, j = np.triu_indices(len(sets), 1)
+    apart, truly = simhash.differences(bits)(i, j), np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (apart <= truly).all() and (apart > 0).any()
+    key, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    want = {(a, b) for a, b, d in zip(i.tolist(), j.tolist(), truly.tolist()) if 9 * d <= n[a] + n[b]}
+    by_bits, by_size = ({tuple(sorted(p)) for x, y, _ in simhash.passing(key, root, n, b, 0.8) for p in zip(x.tolist(), y.tolist())} for b in (bits, np.array([None] * len(bits), object)))
+    assert len(want) > 50 and want <= by_bits < by_size
+
+
 def test_alike_sets_pass_the_count_of_their_prefixes():
     rnd, met = random.Random(7), 0
     for _ in range(3000):
