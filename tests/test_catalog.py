@@ -5,7 +5,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
 from quillspark.functions import udx
 from quillspark.plans import catalog, dataset  # noqa: F401
 
@@ -61,3 +63,11 @@ def test_units_match_a_plain_form(spark, name, plain_form):
         units = plain_form(text or "")
         want |= {(doc, i): (md5(x), md5(units[i - 1] if i else "")) for i, x in enumerate(units)}
     assert got == want and want
+
+
+def test_number_keys_round_by_exact_value(spark):
+    texts = ["8373485", "8373495", "3,449,845", "0.1234565", "0.1234575", "2012.345", "0.00001234565", "12345650000000000000", "1234565000000000000000", "9999995", "99999.95", "1234567.5", "100000.5", "34.5", "123456", "1234565.0000001"]
+    texts += [f"{m / 10**k:.{k}f}" for m in range(1000005, 10000000, 39990) for k in (1, 3, 5, 6)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = {r.text: r.v for r in rows.select("text", T.number_values(F.col("text")).alias("v")).collect()}
+    assert got == {x: [f"{float(x.replace(',', '')):.5e}"] for x in texts}
