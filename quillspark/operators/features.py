@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
 
+def one_space(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s\s+", " ")
+
+
 def counts(docs: DataFrame, key: str, sizes: tuple[int, ...], lower: bool = True) -> DataFrame:
     """(key, gram, tf): runs of white space count as one space."""
-    c = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s\s+", " ")
+    c = one_space(F.col("text"))
     c = F.lower(c) if lower else c
     return docs.select(key, F.explode(T.grams(c, sizes)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
