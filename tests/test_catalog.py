@@ -71,3 +71,10 @@ def test_number_keys_round_by_exact_value(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "text string")
     got = {r.text: r.v for r in rows.select("text", T.number_values(F.col("text")).alias("v")).collect()}
     assert got == {x: [f"{float(x.replace(',', '')):.5e}"] for x in texts}
+
+
+def test_a_head_is_split_once(spark):
+    rows = spark.createDataFrame([("---\nTitle: a\nTitle: b\n---\nx\ny",), ("Key: v\nnot a key\nz",), (None,), ("",)], "raw string").select(T.header(F.col("raw")).alias("h"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    got = [r.h and (r.h.meta, r.h.body) for r in rows.collect()]
+    assert got[:2] == [({"Title": "b"}, "x\ny"), ({"Key": "v"}, "not a key\nz")] and got[3] == ({}, "")
