@@ -78,3 +78,9 @@ def test_a_head_is_split_once(spark):
     assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
     got = [r.h and (r.h.meta, r.h.body) for r in rows.collect()]
     assert got[:2] == [({"Title": "b"}, "x\ny"), ({"Key": "v"}, "not a key\nz")] and got[3] == ({}, "")
+
+
+@pytest.mark.parametrize("name", ["merged_units", "section_units", "split_pieces", "rejoined_blocks", "compare_alignment", "article_rewrites"])
+def test_texts_pass_python_in_small_batches(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
