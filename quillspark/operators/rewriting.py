@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from quillspark.functions import udx
 from quillspark.functions.profiles import HAN, Profile
 from quillspark.functions.text import FULL_DIGITS, GROUPED
+from quillspark.operators.articles import mapped
 
 #: A provider of rewrites: (text, what stands before it) -> its rewrite.
 Provider = Callable[[str, str], str]
 Check = Callable[[str, str], str | None]
+DIGITS = str.maketrans(FULL_DIGITS, "0123456789")
 LOG = "input string, output string, blocks array<int>, attempts int, fallback string"
 ARTICLE = f"markdown string, appended int, log array<struct<{LOG}>>, error string"
 
 
 def values(text: str) -> set[float]:
     """Numbers by value, six significant digits."""
-    found = re.findall(GROUPED, text.translate(str.maketrans(FULL_DIGITS, "0123456789")), re.ASCII)
+    found = re.findall(GROUPED, text if text.isascii() else text.translate(DIGITS), re.ASCII)
     return {float(f"{float(n.replace(',', '')):.5e}") for n in found}
 
 
@@ -84,6 +86,8 @@ def rewritten(
             for x in inputs:
                 found.append(call(x, before))
                 before = found[-1][0]
+        elif len(inputs) == 1:
+            found = [call(inputs[0], "")]
         else:
             found = list(pool.map(call, inputs, ["", *inputs[:-1]]))
         shown, appended = [b["text"] for b in parts], 0
@@ -96,14 +100,13 @@ def rewritten(
         log = [dict(zip(("input", "output", "blocks", "attempts", "fallback"), (x, y, run, n, why))) for run, x, (y, n, why) in zip(runs, inputs, found)]
         return {"markdown": udx.joined([(x, b["tight"]) for x, b in zip(shown, parts)]), "appended": appended, "log": log, "error": None}
 
-    def one(raw: str | None) -> dict:
-        with ThreadPoolExecutor(concurrency) as pool:
-            try:
-                return article(raw, pool)
-            except Exception as e:  # noqa: BLE001
-                return {"markdown": None, "appended": None, "log": None, "error": f"{type(e).__name__}: {e}"}
+    def one(raw: str | None, pool: ThreadPoolExecutor) -> list[tuple]:
+        try:
+            return [tuple(article(raw, pool).values())]
+        except Exception as e:  # noqa: BLE001
+            return [(None, None, None, f"{type(e).__name__}: {e}")]
 
-    return docs.select(key, F.udf(one, ARTICLE)(F.col(text)).alias("r")).select(key, "r.*")
+    return mapped(docs, key, F.col(text), one, ARTICLE, lambda: ThreadPoolExecutor(concurrency))
 
 
 def log_rows(articles: DataFrame, key: str) -> DataFrame:

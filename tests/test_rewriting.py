@@ -138,3 +138,16 @@ def test_tables_and_blind_page(spark):
     pairs = spark.createDataFrame([(i, "原" * 80 + "</script>", "改" * 80) for i in range(5)], "id long, original string, rewrite string")
     page = reports.blind_page(articles.blind_items(pairs.withColumnRenamed("id", "unit"), "unit", 1, 2), "盲测")
     assert page.count("</script>") == 1 and "own_side" not in page and "s2-01" in page
+
+
+def test_a_provider_is_called_once_however_rows_are_filtered(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text, before):
+        calls.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"a{i}\n\nb") for i in range(5)], "k long, text string")
+    made = rewriting.rewritten(docs, "k", counted, letter="[a-z]").where("size(log) > 0 and markdown <> ''")
+    assert len(made.select("k", "markdown", "log").collect()) == 5
+    assert calls.value == 10
