@@ -84,3 +84,10 @@ def test_a_head_is_split_once(spark):
 def test_texts_pass_python_in_small_batches(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["draft_evaluation", "builder_evaluation", "han_gate", "paragraph_guard"])
+def test_numbers_of_a_gate_are_taken_once(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # three lists of numbers and two of tokens at most
+    assert plan.count("regexp_extract_all(") <= 5
