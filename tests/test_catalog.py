@@ -91,3 +91,9 @@ def test_numbers_of_a_gate_are_taken_once(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     # three lists of numbers and two of tokens at most
     assert plan.count("regexp_extract_all(") <= 5
+
+
+def test_scored_rows_are_made_twice_at_most(spark):
+    plan = catalog.queries()["system_scorecard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # outputs are read for the systems and for the rows, once for the sums and once for chrF
+    assert 0 < plan.count("] json") <= 4
